@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import components, linking
+from heliograph.llm import batches, components, linking, survivors
+from heliograph.operators import timestamps
 from heliograph.runtime import table
 
 
@@ -14,5 +15,34 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return components.connected_components(links).select(F.col("vertex").alias("photo_id"), F.col("component").alias("group_key"))
 
 
-QUERIES = {"p4_found": p4_found}
+def _group_members(spark: SparkSession, root: str) -> DataFrame:
+    photos = table(spark, root, "photos").select(
+        "id", "path", "taken_at", "modified_at", "scanned_at", "all_exif", "width", "height", "size_bytes", "camera_model", "gps_latitude", "gps_longitude", "trashed_at"
+    )
+    roots = table(spark, root, "library_roots")
+    taken = timestamps.taken_instants(photos, roots)
+    return survivors.members(table(spark, root, "photo_similarity"), table(spark, root, "similarity_groups"), taken)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return survivors.best_members(_group_members(spark, root))
+
+
+def p2_fused(spark: SparkSession, root: str) -> DataFrame:
+    """Values of each group's fields by Bayesian fusion; the sources are the library directories."""
+    rows = timestamps.with_source(_group_members(spark, root), table(spark, root, "library_roots"))
+    fields = {"width": F.when(F.col("width") > 0, F.col("width")), "size_bytes": F.col("size_bytes"), "taken_at": F.col("taken_us"), "camera_model": F.col("camera_model")}
+    claims = rows.select(
+        F.col("group_id").alias("item"), F.col("root_dir").alias("source"), F.inline(F.array(*(F.struct(F.lit(k).alias("field_name"), v.cast("string").alias("value")) for k, v in fields.items())))
+    )
+    return survivors.fuse(claims).withColumnRenamed("item", "group_id")
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    history = batches.records(table(spark, root, "photos"), F.lit(0))
+    incoming = batches.records(table(spark, root, "incoming_photos"), F.col("batch_no"))
+    return batches.find_duplicates(history.unionByName(incoming)).select(F.col("id_a").alias("photo_id_a"), F.col("id_b").alias("photo_id_b"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p4_found": p4_found, "p7_found": p7_found}
 ORACLE_SQL: dict[str, str] = {}
