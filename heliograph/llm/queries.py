@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import batches, components, linking, survivors
+from heliograph.llm import batches, components, leaks, linking, survivors
 from heliograph.operators import timestamps
 from heliograph.runtime import table
 
@@ -44,5 +44,9 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return batches.find_duplicates(history.unionByName(incoming)).select(F.col("id_a").alias("photo_id_a"), F.col("id_b").alias("photo_id_b"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p4_found": p4_found, "p7_found": p7_found}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p4_found": p4_found, "p7_found": p7_found, "p9_found": p9_found}
 ORACLE_SQL: dict[str, str] = {}
