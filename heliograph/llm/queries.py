@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import batches, components, leaks, linking, survivors
+from heliograph.llm import batches, components, leaks, linking, stuffing, survivors
 from heliograph.operators import timestamps
 from heliograph.runtime import table
 
@@ -48,5 +48,9 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p4_found": p4_found, "p7_found": p7_found, "p9_found": p9_found}
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return stuffing.find_spam(table(spark, root, "documents")).select("doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p4_found": p4_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 ORACLE_SQL: dict[str, str] = {}
