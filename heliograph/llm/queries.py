@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import batches, components, leaks, linking, stuffing, survivors
+from heliograph.llm import batches, components, leaks, linking, stuffing, survivors, vectors
 from heliograph.operators import timestamps
 from heliograph.runtime import table
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    photo = table(spark, root, "photo_embeddings").select(F.lit("photo").alias("kind"), F.col("photo_id").alias("id"), F.col("embedding").alias("vector"))
+    face = table(spark, root, "faces").select(F.lit("face").alias("kind"), "id", F.col("embedding").alias("vector"))
+    return vectors.neighbours(photo.unionByName(face), 0.8, 5)
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     links = linking.photo_links(table(spark, root, "photo_similarity"), table(spark, root, "photos"))
     return components.connected_components(links).select(F.col("vertex").alias("photo_id"), F.col("component").alias("group_key"))
@@ -52,5 +58,5 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return stuffing.find_spam(table(spark, root, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p4_found": p4_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 ORACLE_SQL: dict[str, str] = {}
