@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import batches, components, leaks, linking, stuffing, survivors, vectors
+from heliograph.llm import batches, components, leaks, linkage, linking, stuffing, survivors, vectors
 from heliograph.operators import timestamps
 from heliograph.runtime import table
 
@@ -44,6 +44,23 @@ def p2_fused(spark: SparkSession, root: str) -> DataFrame:
     return survivors.fuse(claims).withColumnRenamed("item", "group_id")
 
 
+def _faces(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "faces").select("id", F.col("embedding").alias("vector"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    member, clusters = linkage.cluster(_faces(spark, root))
+    several = clusters.where("size > 1").select("cluster")
+    return member.join(several, "cluster", "left_semi").select(F.col("id").alias("face_id"), F.col("cluster").alias("cluster_key"))
+
+
+def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Each cluster's face count and most typical faces."""
+    faces = _faces(spark, root)
+    described = linkage.describe(faces, *linkage.cluster(faces))
+    return described.select(F.col("cluster").alias("cluster_key"), F.col("size").alias("face_count"), F.col("representative").alias("representative_face_id"), F.col("typical").alias("typical_face_ids"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     history = batches.records(table(spark, root, "photos"), F.lit(0))
     incoming = batches.records(table(spark, root, "incoming_photos"), F.col("batch_no"))
@@ -58,5 +75,5 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return stuffing.find_spam(table(spark, root, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 ORACLE_SQL: dict[str, str] = {}
