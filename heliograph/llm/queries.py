@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import batches, components, leaks, linkage, linking, stuffing, survivors, vectors
+from heliograph.llm import batches, components, leaks, linkage, linking, packing, stuffing, survivors, vectors
 from heliograph.operators import timestamps
 from heliograph.runtime import table
 
@@ -67,6 +67,11 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return batches.find_duplicates(history.unionByName(incoming)).select(F.col("id_a").alias("photo_id_a"), F.col("id_b").alias("photo_id_b"))
 
 
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Each document's container of 2,048 tokens."""
+    return packing.pack(packing.token_counts(table(spark, root, "documents")))
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
 
@@ -75,5 +80,5 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return stuffing.find_spam(table(spark, root, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 ORACLE_SQL: dict[str, str] = {}
