@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliograph.plans import catalogue_queries
+from heliograph.plans import catalogue_queries, reference_queries
 
-QUERIES = {**catalogue_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**reference_queries.QUERIES, **catalogue_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**reference_queries.ORACLE_SQL}
