@@ -42,6 +42,9 @@ REFERENCES = [
 ]
 
 
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
 def _parse(spec: str) -> tuple[T.StructType, dict[str, str]]:
     fields, defaults = [], {}
     for item in spec.split(", "):
@@ -49,7 +52,7 @@ def _parse(spec: str) -> tuple[T.StructType, dict[str, str]]:
         kind, _, default = kind.partition("=")
         if default:
             defaults[name] = default
-        fields.append(T.StructField(name, T.StructType.fromDDL(f"x {kind.rstrip('!')}")["x"].dataType, not kind.endswith("!")))
+        fields.append(T.StructField(name, _TYPES[kind.rstrip("!")], not kind.endswith("!")))
     return T.StructType(fields), defaults
 
 
