@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heliograph.runtime import cut
+from heliograph.runtime import cut, small
 
 DIMENSIONS = 128
 #: Vectors of one side of a tile.
 BLOCK = 1024
-#: Vectors of one side of a task at most, about: 16 MB of floats.
-GROUP = 32_768
+#: Vectors of one side of a task at most, about: 34 MB of floats. Each vector goes to as many tasks as there are groups.
+GROUP = 65_536
 #: Vectors that order the blocks, at most; they are a sample, but every vector is placed by them.
 PIVOTS = 256
 #: Share of a tile's pairs above which it is computed again as a whole rather than pair by pair.
@@ -43,13 +43,18 @@ def usable(vector: Column, dimensions: int = DIMENSIONS) -> Column:
 
 
 def floats(column: pa.Array | pa.ChunkedArray, dimensions: int) -> np.ndarray:
-    """Rows of a binary column of float32 values."""
-    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    return np.frombuffer(b"".join(b"".join(c.to_pylist()) for c in chunks), np.float32).reshape(-1, dimensions)
+    """Rows of a binary column of float32 values without nulls, read in place where it is one piece."""
+    parts = []
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(c):
+            c = c.cast(pa.binary())
+            ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(-1, dimensions))
+    return parts[0] if len(parts) == 1 else np.concatenate([np.empty((0, dimensions), np.float32), *parts])
 
 
 def units(vectors: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(id, u): the usable vectors of (id, vector) scaled to length 1, as float32 bytes; one row for repeated ids."""
+    """(id, u): the usable vectors of (id, vector) scaled to length 1, as float32 bytes; a map without a shuffle."""
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,7 +65,7 @@ def units(vectors: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in raw.astype(np.float32)], pa.binary())], names=["id", "u"])
 
     good = vectors.where(F.col("id").isNotNull() & usable(F.col("vector"), dimensions)).select(F.col("id").cast("bigint"), F.col("vector").cast("array<double>"))
-    return good.mapInArrow(scale, "id bigint, u binary").groupBy("id").agg(F.min("u").alias("u"))
+    return good.mapInArrow(scale, "id bigint, u binary")
 
 
 def nearest_pivot(rows: DataFrame, seed: int = 0, pivots: int = PIVOTS, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -164,6 +169,11 @@ def _tiles(a: _Side, b: _Side, same: bool, least: float, k: int) -> tuple[_Heaps
     return left, right
 
 
+def _groups(n: int, group: int) -> int:
+    """Groups of at most about ``group`` of n vectors; smaller inputs are cut a little finer, so that cores are not idle."""
+    return max(-(-n // group), min(2, -(-n // (4 * BLOCK))), 1)
+
+
 def similar_pairs(rows: DataFrame, least: float, k: int, dimensions: int = DIMENSIONS, group: int = GROUP) -> DataFrame:
     """(kind, id, partner, value): for each vector its ``k`` largest products of at least ``least`` with others of its kind.
 
@@ -173,9 +183,7 @@ def similar_pairs(rows: DataFrame, least: float, k: int, dimensions: int = DIMEN
     counts = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # as many as kinds
     parts = []
     for kind, n in counts.items():
-        groups = max(1, -(-n // group))
-        # too few tasks leave cores idle, so small inputs are cut finer
-        groups = max(groups, min(4, -(-n // (4 * BLOCK))))
+        groups = _groups(n, group)
         own = nearest_pivot(rows.where(F.col("kind") == kind).drop("kind"), pivots=PIVOTS, dimensions=dimensions)
         g = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
@@ -188,12 +196,13 @@ def similar_pairs(rows: DataFrame, least: float, k: int, dimensions: int = DIMEN
 
     def task(table: pa.Table) -> pa.Table:
         kind, lo, hi = table.column("kind")[0], table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        g = table.column("g").to_numpy()
+        g, ids, pivot = (table.column(c).to_numpy() for c in ("g", "id", "pivot"))
+        u = floats(table.column("u"), dimensions)
 
         def side(which: int) -> _Side:
             at = np.flatnonzero(g == which)
-            own = table.take(pa.array(at))
-            return _Side(own.column("id").to_numpy(), floats(own.column("u"), dimensions), own.column("pivot").to_numpy())
+            at = at[np.unique(ids[at], return_index=True)[1]]  # a repeated row of one id is the same vector
+            return _Side(ids[at], u[at], pivot[at])
 
         a = side(lo)
         b = a if lo == hi else side(hi)
@@ -203,7 +212,7 @@ def similar_pairs(rows: DataFrame, least: float, k: int, dimensions: int = DIMEN
 
     keyed = copies.select("kind", "id", "u", "pivot", "g", F.least("g", "h").alias("lo"), F.greatest("g", "h").alias("hi"))
     # one task a shuffle partition, since each is heavy
-    tasks = sum((lambda m: m * (m + 1) // 2)(max(max(1, -(-n // group)), min(4, -(-n // (4 * BLOCK))))) for n in counts.values())
+    tasks = sum(_groups(n, group) * (_groups(n, group) + 1) // 2 for n in counts.values())
     found = keyed.repartition(max(2 * tasks, 8), "kind", "lo", "hi").groupBy("kind", "lo", "hi").applyInArrow(task, "kind string, id bigint, partner bigint, value double")
     best = W.partitionBy("kind", "id").orderBy(F.desc("value"), "partner")
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
@@ -225,12 +234,16 @@ def neighbours(vectors: DataFrame, least: float, k: int, dimensions: int = DIMEN
         held = own if held is None else held.unionByName(own)
     if held is None:
         return vectors.sparkSession.createDataFrame([], "kind string, id_a bigint, id_b bigint")
-    held = cut(held)
-    classes = held.groupBy("kind", "u").agg(F.min("id").alias("lead"), F.count("*").alias("copies"))
-    distinct = cut(classes.select("kind", F.col("lead").alias("id"), "u", "copies"))
-    found = similar_pairs(distinct.select("kind", "id", "u"), least, k, dimensions)
-    copied = classes.where("copies > 1")
-    members = held.join(copied.select("kind", "u", "lead"), ["kind", "u"]).select("kind", "lead", "id")
+    # copies are found by a 128-bit digest, so that the vectors themselves are shuffled only once, to the tiles
+    marks = cut(held.select("kind", "id", F.unhex(F.md5("u")).alias("h")).distinct())
+    members = marks.groupBy("kind", "id").agg(F.min("h").alias("h"))
+    classes = cut(members.groupBy("kind", "h").agg(F.min("id").alias("lead"), F.count("*").alias("copies")))
+    chosen = classes.select("kind", F.col("lead").alias("id"), "h")
+    others = small(cut(marks.join(chosen, ["kind", "id", "h"], "left_anti")))
+    distinct = held.withColumn("h", F.unhex(F.md5("u"))).join(others, ["kind", "id", "h"], "left_anti").select("kind", "id", "u")
+    found = cut(similar_pairs(distinct, least, k, dimensions))
+    copied = classes.where("copies > 1").select("kind", "h", "lead")
+    members = members.join(copied, ["kind", "h"]).select("kind", "lead", "id")
     # the k + 1 smallest ids of a class, chosen in two steps so that no task holds a large class
     salted = W.partitionBy("kind", "lead", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
     few = members.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1).drop("r")
@@ -241,7 +254,7 @@ def neighbours(vectors: DataFrame, least: float, k: int, dimensions: int = DIMEN
     near = near.unionByName(copied.select("kind", "lead", F.col("lead").alias("other"), F.lit(1.0).alias("value")))
     spread = near.join(few.select("kind", F.col("lead").alias("other"), F.col("id").alias("copy")), ["kind", "other"], "left").select("kind", "lead", F.coalesce("copy", "other").alias("partner"), "value")
     top = spread.withColumn("r", F.row_number().over(W.partitionBy("kind", "lead").orderBy(F.desc("value"), "partner"))).where(F.col("r") <= k + 1)
-    every = members.select("kind", "lead", "id").unionByName(distinct.where("copies = 1").select("kind", F.col("id").alias("lead"), "id"))
+    every = members.unionByName(classes.where("copies = 1").select("kind", "lead", F.col("lead").alias("id")))
     # at most k + 1 rows a member; the member itself drops out, then the k best remain
     own = every.join(top, ["kind", "lead"]).where("id != partner")
     ranked = own.withColumn("p", F.row_number().over(W.partitionBy("kind", "id").orderBy("r"))).where(F.col("p") <= k)
