@@ -81,4 +81,46 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
-ORACLE_SQL: dict[str, str] = {}
+# Hashes as upper-case hexadecimal text, null where they do not give 256 bits.
+_B64 = "hex(from_base64(CASE WHEN regexp_full_match({0}, '[A-Za-z0-9+/_-]{{43}}=?') THEN replace(translate({0}, '-_', '+/'), '=', '') || '=' END))"
+_HASH = f"CASE WHEN regexp_full_match({{0}}, '[0-9A-Fa-f]{{{{64}}}}') THEN upper({{0}}) ELSE {_B64} END"
+_PERCEPTUAL = "nullif(" + _HASH.format("regexp_replace(perceptual_hash, '\\s+', '', 'g')") + ", repeat('0', 64))"
+_SHA = _HASH.format("regexp_replace(regexp_replace(sha256_hash, '\\s+', '', 'g'), '^(?i:sha-?256[:=-]|0x)', '')")
+_USABLE = "len({0}) = 128 AND len(list_filter({0}, lambda x: x IS NOT NULL AND isfinite(x))) = 128 AND len(list_filter({0}, lambda x: x <> 0)) > 0"
+
+
+def _cosines(table_: str, key: str) -> str:
+    unit = f"SELECT {key} AS i, embedding::DOUBLE[] AS e FROM {table_} WHERE {_USABLE.format('embedding')}"
+    return f"SELECT a.i AS a, b.i AS b, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM ({unit}) a JOIN ({unit}) b ON a.i <> b.i"
+
+
+def _nearest(kind: str, table_: str, key: str) -> str:
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM ({_cosines(table_, key)})"
+    return f"SELECT DISTINCT '{kind}' AS kind, least(a, b) AS id_a, greatest(a, b) AS id_b FROM ({ranked}) WHERE r <= 5 AND c >= 0.8"
+
+
+_WORDS = (
+    "regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '</?em>', '', 'g'), '</?[A-Za-z][^<>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), "
+    "'[\u00ad\u200b-\u200f\u2060\ufeff]', '', 'g')), '[\\p{L}\\p{N}]+')"
+)
+
+
+def _grams(key: str, table_: str) -> str:
+    listed = "unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' ')))"
+    return f"SELECT {key} AS id, {listed} AS g FROM (SELECT {key}, {_WORDS} AS w FROM {table_} WHERE text IS NOT NULL)"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "p3_found": f"{_nearest('photo', 'photo_embeddings', 'photo_id')} UNION ALL {_nearest('face', 'faces', 'id')}",
+    "p4_found": f"""WITH RECURSIVE s AS (SELECT photo_id, group_id FROM photo_similarity WHERE CASE WHEN similarity_score > 1 THEN similarity_score / 100 ELSE similarity_score END >= 0.8),
+ h AS (SELECT id, {_PERCEPTUAL} AS bits FROM photos),
+ e AS MATERIALIZED (SELECT DISTINCT a.photo_id AS a, b.photo_id AS b FROM s a JOIN s b USING (group_id) WHERE a.photo_id <> b.photo_id UNION SELECT a.id, b.id FROM h a JOIN h b USING (bits) WHERE a.id <> b.id),
+ r AS (SELECT a AS v, a AS w FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.w)
+ SELECT v AS photo_id, min(w) AS group_key FROM r GROUP BY v""",
+    "p5_found": f"WITH c AS MATERIALIZED ({_cosines('faces', 'id')}) SELECT a AS face_id, least(a, min(b)) AS cluster_key FROM c WHERE c >= 0.7 GROUP BY a",
+    "p7_found": f"""WITH x AS MATERIALIZED (SELECT id, 0 AS batch, {_SHA} AS sha, {_PERCEPTUAL} AS bits FROM photos UNION ALL SELECT id, batch_no, {_SHA}, {_PERCEPTUAL} FROM incoming_photos),
+ w AS MATERIALIZED (SELECT id, batch, sha, list_transform(range(4), lambda k: CAST('0x' || substr(bits, 16 * k + 1, 16) AS UBIGINT)) AS q FROM x)
+ SELECT DISTINCT least(a.id, b.id) AS photo_id_a, greatest(a.id, b.id) AS photo_id_b FROM w a JOIN w b ON b.batch < a.batch
+ WHERE a.sha = b.sha OR bit_count(xor(a.q[1], b.q[1]))::INT + bit_count(xor(a.q[2], b.q[2]))::INT + bit_count(xor(a.q[3], b.q[3]))::INT + bit_count(xor(a.q[4], b.q[4]))::INT <= 16""",
+    "p9_found": f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM ({_grams('doc_id', 'documents')}) d JOIN ({_grams('item_id', 'eval_items')}) i USING (g)",
+}
