@@ -32,3 +32,12 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p6_found": p6_found}
+
+_POSITION = "(SELECT id, gps_latitude AS la, CASE WHEN gps_longitude >= -180 AND gps_longitude < 180 THEN gps_longitude ELSE ((gps_longitude + 180) % 360 + 360) % 360 - 180 END AS lo FROM photos WHERE isfinite(gps_latitude) AND isfinite(gps_longitude) AND NOT (gps_latitude = 0 AND gps_longitude = 0) AND abs(gps_latitude) <= 90 AND abs(gps_longitude) <= 360)"
+ORACLE_SQL = {
+    "p6_found": f"""WITH u AS MATERIALIZED {_POSITION},
+ e AS MATERIALIZED (SELECT place_id, ring_lat[k] AS y1, ring_lon[k] AS x1, ring_lat[CASE k WHEN 1 THEN len(ring_lat) ELSE k - 1 END] AS y2, ring_lon[CASE k WHEN 1 THEN len(ring_lat) ELSE k - 1 END] AS x2 FROM (SELECT *, unnest(range(1, len(ring_lat) + 1)) AS k FROM places WHERE shape = 'polygon')),
+ p AS (SELECT u.id, e.place_id, t.turn, count(*) AS crossings FROM u, e, (VALUES (-360), (0), (360)) t(turn) WHERE (y1 > la) <> (y2 > la) AND lo + turn < x1 + (la - y1) * (x2 - x1) / (y2 - y1) GROUP BY ALL)
+ SELECT id AS photo_id, place_id FROM u, places WHERE shape = 'circle' AND 2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(la - latitude) / 2), 2) + cos(radians(la)) * cos(radians(latitude)) * pow(sin(radians(lo - longitude) / 2), 2)))) <= radius_m
+ UNION SELECT id, place_id FROM p WHERE crossings % 2 = 1""",
+}
