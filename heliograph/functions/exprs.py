@@ -70,6 +70,13 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
+def padded(start: str, size: str, whole: Column) -> tuple[Column, Column]:
+    """(start, size) of a box side with a fifth of its size added at both ends, clamped to the image."""
+    pad = F.expr(f"{size} div 5").cast("int")
+    first = F.greatest(F.lit(0), F.col(start) - pad)
+    return first, F.least(F.col(size) + 2 * pad, whole - first)
+
+
 def rotation(orientation: Column, user: Column) -> Column:
     turned = F.lit(0)
     for code, degrees in ORIENTATION_DEGREES.items():

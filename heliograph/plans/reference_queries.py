@@ -5,9 +5,12 @@ Tables that the tests lack are derived from those they have, by the same rule on
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph import schema
+from heliograph.catalog import assign_ids, cascade
 from heliograph.functions import exprs as X
 from heliograph.operators import duplicates, lookups, mutations, pipelines, relations, search
 from heliograph.runtime import table
@@ -71,6 +74,31 @@ class Tables:
         return self.photos.agg(F.min("path")).first()[0]
 
 
+
+def _consecutive(t: Tables, value) -> DataFrame:
+    """A function of each vector and the one with the next id."""
+    other = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return t.embeddings.join(other, "vec_id").select("vec_id", F.round(value(F.col("embedding"), F.col("other")), 6).alias("value"))
+
+
+def _appended(df: DataFrame, column: str, value) -> DataFrame:
+    """(id, column) of a table and one new row above its largest id."""
+    fresh = df.sparkSession.createDataFrame([(value,)], f"{column} {dict(df.dtypes)[column]}")
+    return df.select("id", column).unionByName(assign_ids(fresh, df, [column]).select("id", column))
+
+
+def _cascaded(t: Tables, name: str, row: int) -> dict[str, DataFrame]:
+    """The tables that change when one row goes; tables that the tests lack are empty."""
+
+    def read(table_: str) -> DataFrame:
+        try:
+            return getattr(t, "photo_embeddings" if table_ == "embeddings" else table_)
+        except AnalysisException:
+            return t.spark.createDataFrame([], schema.SCHEMAS[table_])
+
+    return cascade(name, t.spark.createDataFrame([(row,)], "id bigint"), read)
+
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -289,3 +317,73 @@ _add("l1_replies", lambda t: pipelines.parse_reply(t.photos.select("id", F.conca
 _add("b4_html", lambda t: exports.html_rows(t.photos))
 _add("s1_event_windows", lambda t: ingest.event_windows(t.events).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total")), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 _add("k_json_props", lambda t: t.events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+
+# further lookups and scores
+_add("c7_people_of_photo", lambda t: t.faces.where("photo_id = 5").join(t.people.select(F.col("id").alias("person_id"), "name"), "person_id").select("name").distinct(), "SELECT DISTINCT p.name FROM faces f JOIN people p ON p.id = f.person_id WHERE f.photo_id = 5")
+_add("f1_cosines", lambda t: _consecutive(t, X.cosine), "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS value FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+_add("f2_distances", lambda t: _consecutive(t, X.euclidean), "SELECT a.vec_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS value FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+_add("f3_matches", lambda t: _consecutive(t, X.cosine).where("value > 0.1").select("vec_id"), "SELECT a.vec_id FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) > 0.1")
+_add("f17_missing_vectors", lambda t: lookups.first(t.faces, "embedding IS NULL", 10_000, ["id"], ["id", "photo_id"]), "SELECT id, photo_id FROM faces WHERE embedding IS NULL ORDER BY id LIMIT 10000")
+_add("f20_clipped_boxes", lambda t: t.faces.where("confidence > 0.7").select("id", F.greatest("bbox_x", F.lit(0)).alias("x"), F.greatest("bbox_w", F.lit(1)).alias("w")), "SELECT id, greatest(bbox_x, 0) AS x, greatest(bbox_w, 1) AS w FROM faces WHERE confidence > 0.7")
+_add("f21_padded_boxes", lambda t: t.faces.join(t.photos.select(F.col("id").alias("photo_id"), "width"), "photo_id").select("id", X.padded("bbox_x", "bbox_w", F.col("width"))[0].alias("x"), X.padded("bbox_x", "bbox_w", F.col("width"))[1].alias("w")), "SELECT f.id, greatest(0, bbox_x - bbox_w // 5) AS x, least(bbox_w + 2 * (bbox_w // 5), width - greatest(0, bbox_x - bbox_w // 5)) AS w FROM faces f JOIN photos p ON p.id = f.photo_id")
+_add("f25_one_group", lambda t: duplicates.exact_groups(t.photos.where(F.col("sha256_hash") == t.photos.groupBy("sha256_hash").count().where("sha256_hash IS NOT NULL AND count > 1").agg(F.min("sha256_hash")).first()[0])).select("id", "pos"), "WITH h AS (SELECT min(sha256_hash) AS s FROM (SELECT sha256_hash FROM photos GROUP BY 1 HAVING count(*) > 1 AND sha256_hash IS NOT NULL)) SELECT id, CAST(row_number() OVER (ORDER BY taken_at NULLS FIRST, path) AS INT) AS pos FROM photos, h WHERE sha256_hash = s")
+_add("f27_hit", lambda t: t.photos.where("id = 5").select("id", "path", "filename", F.lit(0.5).alias("similarity")), "SELECT id, path, filename, 0.5::DOUBLE AS similarity FROM photos WHERE id = 5")
+_add("d12_similar_hashes", lambda t: duplicates.hamming_edges(t.photos.select(F.col("id").alias("pos"), duplicates.H.perceptual_bits(F.col("perceptual_hash")).alias("bits")).where("bits IS NOT NULL"), 16))
+_add("d14_query_vector", lambda t: search.by_vector(t.embeddings, [1.0] + [0.0] * 63, 10, -1.0, "vec_id"), "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], [1.0] || list_transform(range(63), lambda x: 0.0)), 6) AS similarity FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10")
+_add("d15_listing_join", lambda t: t.incoming_photos.select("path").distinct().join(t.photos.select("path", "modified_at"), "path", "left"), "SELECT DISTINCT i.path, p.modified_at FROM incoming_photos i LEFT JOIN photos p ON p.path = i.path")
+_add("e15_scan_summary", lambda t: pipelines.scan_actions(t.photos.select("path"), t.photos.where("width IS NOT NULL")).groupBy("action").agg(F.count("*").alias("n")), "SELECT CASE WHEN width IS NULL THEN 'insert' ELSE 'update' END AS action, count(*) AS n FROM photos GROUP BY 1")
+_add("e16_change_totals", lambda t: pipelines.detect_changes(t.photos.select("path", F.lit("2019-01-01 00:00:00").cast("timestamp").alias("mtime")), t.photos.where("is_favorite")).groupBy("change").agg(F.count("*").alias("n")), "WITH j AS (SELECT is_favorite AS fav, CASE WHEN regexp_full_match(modified_at, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}') THEN try_cast(modified_at AS TIMESTAMP) END AS db FROM photos) SELECT CASE WHEN NOT coalesce(fav, false) THEN 'new' ELSE 'modified' END AS change, count(*) AS n FROM j WHERE NOT coalesce(fav, false) OR db IS NULL OR epoch(TIMESTAMP '2019-01-01') - epoch(db) > 2 GROUP BY 1")
+
+# further changes
+_set = lambda c, k, v: f"CASE WHEN id = {k} THEN {v} ELSE {c} END AS {c}"
+_add("g1_insert_scanned", lambda t: mutations.insert_new(t.photos.select("id", "path"), t.incoming_photos.select("path").distinct(), ["path"], ["path"]), "SELECT id, path FROM photos UNION ALL SELECT (SELECT max(id) FROM photos) + row_number() OVER (ORDER BY path), path FROM (SELECT DISTINCT path FROM incoming_photos WHERE path NOT IN (SELECT path FROM photos))")
+_add("g2_update_scanned", lambda t: mutations.update_from(t.photos.select("id", "width", "height"), t.photos.where("width IS NULL").select("id", F.lit(1).alias("width"), F.lit(2).alias("height")), "id"), "SELECT id, coalesce(width, 1) AS width, CASE WHEN width IS NULL THEN 2 ELSE height END AS height FROM photos")
+_add("g4_ensure_photo", lambda t: mutations.insert_new(t.photos.select("id", "path"), t.photos.limit(1).select(F.lit("/new/a.jpg").alias("path")), ["path"], ["path"]).agg(F.count("*").alias("n"), F.max("id").alias("top")), "SELECT count(*) + 1 AS n, max(id) + 1 AS top FROM photos")
+_add("g5_save_description", lambda t: mutations.save_description(t.photos, t.min_path(), "new", NOW).select("id", "description"), "SELECT id, CASE WHEN path = (SELECT min(path) FROM photos) THEN 'new' ELSE description END AS description FROM photos")
+_add("g7_description_by_id", lambda t: mutations.update(t.photos, F.col("id") == 7, {"description": F.lit("x")}).select("id", "description"), f"SELECT id, {_set('description', 7, chr(39) + 'x' + chr(39))} FROM photos")
+_add("g10_set_rotation", lambda t: mutations.set_rotation(t.photos, t.min_path(), -90).select("id", "user_rotation"), "SELECT id, CAST(CASE WHEN path = (SELECT min(path) FROM photos) THEN 270 ELSE user_rotation END AS INT) AS user_rotation FROM photos")
+_add("g11_rotate_cw", lambda t: lookups.rotations(mutations.rotate(t.photos, t.min_path(), 90)), "SELECT path, CAST(((CASE coalesce(exif_orientation, 1) WHEN 6 THEN 90 WHEN 3 THEN 180 WHEN 8 THEN 270 ELSE 0 END + coalesce(user_rotation, 0) + CASE WHEN path = (SELECT min(path) FROM photos) THEN 90 ELSE 0 END) % 360 + 360) % 360 AS INT) AS rotation FROM photos")
+_add("g13_reset_rotation", lambda t: mutations.set_rotation(t.photos, t.min_path(), 0).select("id", "user_rotation"), "SELECT id, CAST(CASE WHEN path = (SELECT min(path) FROM photos) THEN 0 ELSE user_rotation END AS INT) AS user_rotation FROM photos")
+_add("g15_unmark", lambda t: mutations.mark(t.photos, [1, 2, 3], False).select("id", "marked_for_deletion"), "SELECT id, CASE WHEN id IN (1, 2, 3) THEN false ELSE marked_for_deletion END AS marked_for_deletion FROM photos")
+_add("g19_restore", lambda t: mutations.restore(mutations.move_to_trash(t.photos, 4, "/trash/4", NOW), 4).select("id", "path", "original_path"), f"SELECT id, path, {_set('original_path', 4, 'NULL')} FROM photos")
+_add("g20_delete_trashed", lambda t: mutations.delete(t.photos, F.col("id") == 4).select("id"), "SELECT id FROM photos WHERE id <> 4")
+_add("g21_create_person", lambda t: _appended(t.people, "name", "Zoe"), "SELECT id, name FROM people UNION ALL SELECT max(id) + 1, 'Zoe' FROM people")
+_add("g23_rename_person", lambda t: mutations.rename(t.people, 2, "Zoe").select("id", "name"), f"SELECT id, {_set('name', 2, chr(39) + 'Zoe' + chr(39))} FROM people")
+_add("g24_delete_person", lambda t: _cascaded(t, "people", 2)["faces"].select("id", "person_id"), "SELECT id, CASE WHEN person_id <> 2 THEN person_id END AS person_id FROM faces")
+_add("g25_store_face", lambda t: _appended(t.faces, "photo_id", 5), "SELECT id, photo_id FROM faces UNION ALL SELECT max(id) + 1, 5 FROM faces")
+_add("g26_assign_face", lambda t: mutations.assign_faces(t.faces, [3], 1).select("id", "person_id"), f"SELECT id, {_set('person_id', 3, 1)} FROM faces")
+_add("g27_unassign_face", lambda t: mutations.assign_faces(t.faces, [3], None).select("id", "person_id"), f"SELECT id, {_set('person_id', 3, 'NULL')} FROM faces")
+_add("g28_mark_scanned", lambda t: mutations.latest_wins(t.faces.select("photo_id", "id", "created_at"), ["photo_id"], "id"), "SELECT photo_id, id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY id DESC) AS r FROM faces) WHERE r = 1")
+_add("g29_set_vector", lambda t: mutations.update(t.faces, F.col("id") == 3, {"embedding_dim": F.lit(2)}).select("id", "embedding_dim"), f"SELECT id, {_set('embedding_dim', 3, 2)} FROM faces")
+_add("g30_create_cluster", lambda t: _appended(t.face_clusters, "auto_name", "new"), "SELECT id, auto_name FROM face_clusters UNION ALL SELECT max(id) + 1, 'new' FROM face_clusters")
+_add("g31_add_to_cluster", lambda t: mutations.upsert(t.face_cluster_members.select("face_id", "cluster_id", "similarity_score"), t.faces.where("person_id = 1").select(F.col("id").alias("face_id"), F.lit(1).cast("bigint").alias("cluster_id"), F.lit(0.5).alias("similarity_score")), ["face_id", "cluster_id"]), "SELECT face_id, cluster_id, similarity_score FROM face_cluster_members WHERE NOT (cluster_id = 1 AND face_id IN (SELECT id FROM faces WHERE person_id = 1)) UNION ALL SELECT id, 1, 0.5 FROM faces WHERE person_id = 1")
+_add("g32_clear_clusters", lambda t: relations.count(mutations.delete(t.face_clusters, F.lit(True))), "SELECT 0::BIGINT AS n")
+_add("g35_create_task", lambda t: _appended(t.scheduled_tasks, "task_type", "scan"), "SELECT id, task_type FROM scheduled_tasks UNION ALL SELECT max(id) + 1, 'scan' FROM scheduled_tasks")
+for _n, _s in (("g37_cancel", "cancelled"), ("g40_complete", "completed"), ("g41_fail", "failed")):
+    _add(_n, lambda t, _s=_s: mutations.set_status(t.scheduled_tasks.withColumns({"completed_at": F.lit(None).cast("string"), "error_message": F.lit(None).cast("string")}), 5, _s, NOW, "why").select("id", "status", "completed_at", "error_message"), f"SELECT id, CASE WHEN id = 5 THEN '{_s}' ELSE status END AS status, CASE WHEN id = 5 THEN '{NOW}' END AS completed_at, CASE WHEN id = 5 THEN 'why' END AS error_message FROM scheduled_tasks")
+_add("g38_delete_task", lambda t: mutations.delete_ids(t.scheduled_tasks, [5]).select("id"), "SELECT id FROM scheduled_tasks WHERE id <> 5")
+_add("g43_get_or_create_tag", lambda t: mutations.insert_new(t.user_tags.select("id", F.lower("name").alias("name")), t.photos.where("camera_make IS NOT NULL").select(F.lower("camera_make").alias("name")).distinct(), ["name"], ["name"]), "SELECT id, lower(name) AS name FROM user_tags UNION ALL SELECT (SELECT max(id) FROM user_tags) + row_number() OVER (ORDER BY m), m FROM (SELECT DISTINCT lower(camera_make) AS m FROM photos WHERE camera_make IS NOT NULL AND lower(camera_make) NOT IN (SELECT lower(name) FROM user_tags))")
+_add("g44_delete_tag", lambda t: _cascaded(t, "user_tags", 2)["photo_user_tags"].select("photo_id", "tag_id"), "SELECT photo_id, tag_id FROM photo_user_tags WHERE tag_id <> 2")
+_add("g45_rename_tag", lambda t: mutations.rename(t.user_tags, 2, "new").select("id", "name"), f"SELECT id, {_set('name', 2, chr(39) + 'new' + chr(39))} FROM user_tags")
+_add("g46_cascade_photos", lambda t: _cascaded(t, "photos", 5)["faces"].select("id"), "SELECT id FROM faces WHERE photo_id <> 5")
+_add("g46_cascade_members", lambda t: _cascaded(t, "photos", 5)["face_cluster_members"].select("face_id", "cluster_id"), "SELECT face_id, cluster_id FROM face_cluster_members WHERE face_id NOT IN (SELECT id FROM faces WHERE photo_id = 5)")
+_add("g48_untag", lambda t: mutations.delete(t.photo_user_tags, (F.col("photo_id") == 5) & (F.col("tag_id") == 2)).select("photo_id", "tag_id"), "SELECT photo_id, tag_id FROM photo_user_tags WHERE NOT (photo_id = 5 AND tag_id = 2)")
+_add("g49_create_album", lambda t: _appended(t.albums, "name", "new"), "SELECT id, name FROM albums UNION ALL SELECT max(id) + 1, 'new' FROM albums")
+_add("g50_delete_album", lambda t: _cascaded(t, "albums", 4)["album_photos"].select("album_id", "photo_id"), "SELECT album_id, photo_id FROM album_photos WHERE album_id <> 4")
+_add("g51_add_to_album", lambda t: mutations.insert_ignore(t.album_photos.select("album_id", "photo_id"), t.photos.where("is_favorite").select(F.lit(4).cast("bigint").alias("album_id"), F.col("id").alias("photo_id")), ["album_id", "photo_id"]), "SELECT album_id, photo_id FROM album_photos UNION SELECT 4, id FROM photos WHERE is_favorite")
+_add("g52_remove_from_album", lambda t: mutations.delete(t.album_photos, F.col("album_id") == 4).select("album_id", "photo_id"), "SELECT album_id, photo_id FROM album_photos WHERE album_id <> 4")
+_add("g54_set_prompt", lambda t: mutations.set_prompt(t.directory_prompts.withColumn("updated_at", F.lit(NOW)), CAMERA_ROLL, "p", NOW).select("directory", "custom_prompt"), f"SELECT directory, custom_prompt FROM directory_prompts WHERE directory <> '{CAMERA_ROLL}' UNION ALL SELECT '{CAMERA_ROLL}', 'p'")
+
+# further pipelines, names and display
+_add("h2_conformed", lambda t: schema.conform(t.incoming_photos, "photos").select("id", "exif_orientation", "user_rotation", "taken_at"), "SELECT id, 1 AS exif_orientation, 0 AS user_rotation, NULL::VARCHAR AS taken_at FROM incoming_photos")
+_add("h6_rescan", lambda t: pipelines.files_to_rescan(pipelines.detect_changes(t.incoming_photos.select("path", F.lit("2019-01-01 00:00:00").cast("timestamp").alias("mtime")).distinct(), t.photos)), "SELECT DISTINCT path FROM incoming_photos WHERE path NOT IN (SELECT path FROM photos)")
+_add("h8_trash_names", lambda t: t.photos.select("id", pipelines.trash_name(F.col("filename"), 1_700_000_000, F.col("id")).alias("name")), "SELECT id, regexp_replace(filename, '(.)\\.[^.]*$', '\\1') || '_1700000000_' || id || regexp_extract(filename, '.(\\.[^.]*)$', 1) AS name FROM photos")
+_add("h14_overdue_selected", lambda t: lookups.overdue(t.scheduled_tasks, NOW).where("id <= 100").select("id"), f"SELECT id FROM scheduled_tasks WHERE status = 'pending' AND scheduled_at < '{NOW}' AND id <= 100")
+_add("i4_filename_parts", lambda t: pipelines.filename_parts(t.photos).select("id", "p_date", "p_ext", "p_stem"), "SELECT id, CASE WHEN regexp_full_match(taken_at, '\\d{4}[-:]\\d{2}[-:]\\d{2} \\d{2}:\\d{2}:\\d{2}') THEN strftime(try_strptime(taken_at, ['%Y-%m-%d %H:%M:%S', '%Y:%m:%d %H:%M:%S']), '%Y%m%d') END AS p_date, coalesce(nullif(lower(regexp_extract(path, '\\.([^./]+)$', 1)), ''), 'jpg') AS p_ext, regexp_replace(filename, '(.)\\.[^.]*$', '\\1') AS p_stem FROM photos")
+_add("i5_filenames", lambda t: pipelines.filename_parts(t.photos).select("id", pipelines.render_filename(F.lit(1)).alias("name")))
+_add("j1_by_size", lambda t: pipelines.gallery(t.photos, "size").select("id").limit(100), "SELECT id FROM photos ORDER BY size_bytes DESC NULLS LAST, id LIMIT 100")
+_add("j8_paste", lambda t: t.incoming_photos.select(X.basename(F.col("path")).alias("filename")).distinct().join(t.photos.select("filename"), "filename", "left_anti"), "SELECT DISTINCT regexp_extract(path, '([^/]*)$', 1) AS filename FROM incoming_photos WHERE regexp_extract(path, '([^/]*)$', 1) NOT IN (SELECT filename FROM photos)")
+_add("l2_prompts", lambda t: t.photos.join(t.directory_prompts, "directory", "left").select("id", pipelines.prompt(F.lit("Describe."), F.col("custom_prompt")).alias("prompt")), "SELECT p.id, CASE WHEN d.custom_prompt <> '' THEN 'Context: ' || d.custom_prompt || chr(10) || chr(10) || 'Describe.' ELSE 'Describe.' END AS prompt FROM photos p LEFT JOIN directory_prompts d ON d.directory = p.directory")
+_add("b6_copy_missing", lambda t: exports.copy_missing(t.photos.select("id"), t.photos.where("is_favorite").select("id"), ["id"]), "SELECT id FROM photos WHERE NOT coalesce(is_favorite, false)")
+_add("b7_watermarks", lambda t: t.photos.agg(F.max("id").alias("top")), "SELECT max(id) AS top FROM photos")
+_add("b2_json_rows", lambda t: lookups.export_rows(t.photos).select("path", F.to_json(F.struct("filename", "size_bytes"), {"ignoreNullFields": "false"}).alias("line")))
