@@ -17,6 +17,8 @@ from heliograph.runtime import cut, small, stage
 #: Share of a source's evidence that may contradict its declared zone before the estimate replaces it.
 MAX_CONTRADICTION = 0.5
 HOUR_US = 3_600_000_000
+#: No zone has been further west; a floor below says nothing.
+LEAST_OFFSET_US = -14 * HOUR_US
 
 
 def resolve(df: DataFrame, text: str, default_zone: Column, out: str = "utc_us") -> DataFrame:
@@ -62,7 +64,7 @@ def estimate_zones(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     valid = sources.where(I.is_known_zone(spark, "time_zone"))
     zones = small(valid.select(F.col("time_zone").alias("candidate")).distinct(), 1000)
     hours = (
-        evidence.where("root_dir IS NOT NULL AND wall_us IS NOT NULL AND (offset_us IS NOT NULL OR floor_us IS NOT NULL)")
+        evidence.where(F.col("root_dir").isNotNull() & F.col("wall_us").isNotNull() & (F.col("offset_us").isNotNull() | (F.col("floor_us") > LEAST_OFFSET_US)))
         .groupBy("root_dir", (F.floor(F.col("wall_us") / HOUR_US) * HOUR_US).cast("bigint").alias("hour_us"), "offset_us")
         .agg(F.max("floor_us").alias("floor_us"), F.count("*").alias("n"))
     )
