@@ -36,7 +36,8 @@ def regions_with_bounds(regions: DataFrame) -> DataFrame:
     pad = 1e-7
     whole = (F.abs("latitude") + reach >= 89.9) | (reach >= 89.9)
     half = F.when(whole, 360.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(reach)) / F.cos(F.radians(F.col("latitude"))))))) + pad
-    boxed = regions.where(F.coalesce(circle | ring, F.lit(False))).withColumns(
+    known = regions.select("region_id", "shape", "latitude", "longitude", "radius_m", "ring_lat", "ring_lon")
+    boxed = known.where(F.coalesce(circle | ring, F.lit(False))).withColumns(
         {
             "south": F.when(F.col("shape") == "circle", F.col("latitude") - reach).otherwise(F.array_min("ring_lat")) - pad,
             "north": F.when(F.col("shape") == "circle", F.col("latitude") + reach).otherwise(F.array_max("ring_lat")) + pad,

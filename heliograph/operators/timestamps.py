@@ -26,16 +26,17 @@ def resolve(df: DataFrame, text: str, default_zone: Column, out: str = "utc_us")
 
     A stated zone counts first, then ``default_zone`` (an IANA name or an offset; null: none). Null, empty and unreadable
     texts, dates without a time of day, impossible dates, unknown zones, and wall clocks that a zone shows twice or never
-    give null. Rows are neither dropped nor repeated.
+    give null. Rows are neither dropped nor repeated; a column named ``out`` is replaced, all others are kept.
     """
     c = F.col
-    read = I.read_times(df.withColumn("_default", default_zone), text)
+    # the row travels as one value, so that no column of it can clash with a working column
+    read = I.read_times(df.select(F.struct("*").alias("_row"), c(text).alias("_text"), default_zone.alias("_default")), "_text")
     read = stage(read, _zone=F.when(c("zone_text") == "", c("_default")).otherwise(c("zone_text")))
     read = stage(read, _minutes=I.offset_minutes(c("_zone")))
     read = stage(read, _region=F.when(c("_minutes").isNull() & I.is_known_zone(df.sparkSession, "_zone"), c("_zone")))
     read = I.with_zone_instant(read, "wall_us", "_region", "_there")
     read = stage(read, **{out: F.coalesce(c("epoch_us"), c("wall_us") - c("_minutes").cast("bigint") * 60_000_000, c("_there"))})
-    return read.drop("_default", "_zone", "_minutes", "_region", "_there", "epoch_us", "wall_us", "zone_text")
+    return read.select(*(c("_row")[name].alias(name) for name in df.columns if name != out), out)
 
 
 def with_source(rows: DataFrame, sources: DataFrame, path: str = "path") -> DataFrame:

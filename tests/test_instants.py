@@ -43,6 +43,12 @@ def test_no_instant(spark):
     assert resolved(spark, cases) == [None] * len(cases)
 
 
+def test_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([("2020-01-01T00:00:00Z", 1, "a")] * 3, "t string, wall_us int, _zone string").withColumns({"zone_text": F.lit(1), "_default": F.lit(2), "utc_us": F.lit("old")})
+    got = T.resolve(df, "t", F.lit("UTC")).collect()
+    assert len(got) == 3 and {tuple(sorted(r.asDict().items())) for r in got} == {(("_default", 2), ("_zone", "a"), ("t", "2020-01-01T00:00:00Z"), ("utc_us", us("2020-01-01T00:00:00+00:00")), ("wall_us", 1), ("zone_text", 1))}
+
+
 def test_changes_of_every_zone(spark):
     """Every half hour around the changes of a year, against zoneinfo with both folds."""
     rows, expected = [], []

@@ -37,7 +37,7 @@ def test_against_double_loop(spark):
     bad = [(3001, None, 0.1), (3002, 0.1, None), (3003, 0.0, 0.0), (3004, 95.0, 0.1), (3005, 0.1, 361.0), (3006, float("nan"), 0.1), (3007, 0.1, float("inf"))]
     df = spark.createDataFrame([(*p, "x") for p in points + bad], "point_id bigint, latitude double, longitude double, strip string")
     regions += [(8, "circle", None, 0.0, 5.0, None, None), (9, "circle", 0.0, 0.0, None, None, None), (10, "polygon", 0.0, 0.0, None, [0.0, 1.0], [0.0, 1.0]), (11, "square", 0.1, 0.1, 9e9, None, None), (12, None, 0.1, 0.1, 9e9, None, None)]
-    places = spark.createDataFrame(regions, REGION)
+    places = spark.createDataFrame([(*r, 1, 2, "x") for r in regions], REGION + ", salts int, salt int, south string")
     got = [tuple(r) for r in points_in_regions(df, places).collect()]
     assert len(got) == len(set(got)) and set(got) == expected
     split = {tuple(r) for r in points_in_regions(df, places, points_per_task=20).collect()}
