@@ -133,7 +133,7 @@ def find_duplicates(rows: DataFrame, partitions: int | None = None) -> DataFrame
 
     All hashes are reduced to one representative each before any comparison; copies are joined back at the end.
     """
-    rows = cut(rows.distinct())
+    rows = cut(rows.where("id IS NOT NULL AND batch IS NOT NULL").select("id", "batch", "sha", "bits").distinct())
     membership, leads = _classes(rows)
     membership, leads = cut(membership), cut(leads)
     n = leads.count()

@@ -34,7 +34,7 @@ def brute(rows):
 
 def test_against_double_loop(spark):
     rows = make()
-    df = spark.createDataFrame(rows + rows[:20], SCHEMA)
+    df = spark.createDataFrame([(*r, "x") for r in rows + rows[:20]] + [(None, 1, b"a", None, "x"), (900, None, b"a", None, "x")], SCHEMA + ", key string")
     for partitions in (None, 3):
         got = [tuple(r) for r in batches.find_duplicates(df, partitions).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(rows)
