@@ -19,6 +19,8 @@ MAX_CONTRADICTION = 0.5
 HOUR_US = 3_600_000_000
 #: No zone has been further west; a floor below says nothing.
 LEAST_OFFSET_US = -14 * HOUR_US
+#: Columns that ``resolve`` works with; a row's own columns of these names are set aside meanwhile.
+_WORKING = {"_t", "_s", "_p", "_m", "_h", "_i", "_c", "_d", "epoch_us", "wall_us", "zone_text", "_zone", "_minutes", "_region", "_there", "_early", "_late", "_a", "_b"}
 
 
 def resolve(df: DataFrame, text: str, default_zone: Column, out: str = "utc_us") -> DataFrame:
@@ -29,14 +31,15 @@ def resolve(df: DataFrame, text: str, default_zone: Column, out: str = "utc_us")
     give null. Rows are neither dropped nor repeated; a column named ``out`` is replaced, all others are kept.
     """
     c = F.col
-    # the row travels as one value, so that no column of it can clash with a working column
-    read = I.read_times(df.select(F.struct("*").alias("_row"), c(text).alias("_text"), default_zone.alias("_default")), "_text")
-    read = stage(read, _zone=F.when(c("zone_text") == "", c("_default")).otherwise(c("zone_text")))
+    clashing = {name: f"__own_{name}" for name in df.columns if name in _WORKING}
+    rows = df.withColumn("__default", default_zone).withColumnsRenamed(clashing)
+    read = I.read_times(rows, clashing.get(text, text))
+    read = stage(read, _zone=F.when(c("zone_text") == "", c("__default")).otherwise(c("zone_text")))
     read = stage(read, _minutes=I.offset_minutes(c("_zone")))
     read = stage(read, _region=F.when(c("_minutes").isNull() & I.is_known_zone(df.sparkSession, "_zone"), c("_zone")))
     read = I.with_zone_instant(read, "wall_us", "_region", "_there")
     read = stage(read, **{out: F.coalesce(c("epoch_us"), c("wall_us") - c("_minutes").cast("bigint") * 60_000_000, c("_there"))})
-    return read.select(*(c("_row")[name].alias(name) for name in df.columns if name != out), out)
+    return read.drop("__default", *_WORKING - {out}).withColumnsRenamed({new: old for old, new in clashing.items() if old != out})
 
 
 def with_source(rows: DataFrame, sources: DataFrame, path: str = "path") -> DataFrame:
