@@ -156,3 +156,9 @@ def test_stuffed_pages(spark):
     ids = [r["doc_id"] for r in got.collect()]
     assert sorted(ids) == [*range(1000, 1000 + len(SPAM)), 2003]
     assert stuffing.find_spam(spark.createDataFrame([], "doc_id bigint, text string, lang string, words string")).count() == 0
+
+
+def test_stuffed_pages_that_fill_their_language_and_length(spark):
+    rows = [(k, SPAM["filler"], "en") for k in range(100)] + [(1000 + k, CLEAN["template"], "en") for k in range(20)]
+    got = stuffing.find_spam(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(100))
