@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.runtime import cut
 from heliograph.schema import KEYS, REFERENCES, SCHEMAS, conform
 
 
@@ -46,10 +47,10 @@ def assign_ids(fresh: DataFrame, existing: DataFrame, order: list[str], key: str
     """``fresh`` with ids above the largest of ``existing``, dense in ``order``.
 
     Ranks come from counts of range partitions, not from one global window: the rows are sorted across partitions and each
-    adds the number of rows before its partition.
+    adds the number of rows before its partition. The sorted rows are written first: a second run may have other partitions.
     """
     top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
-    sorted_ = fresh.drop(key).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    sorted_ = cut(fresh.drop(key).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     sizes = {r["_p"]: r["n"] for r in sorted_.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row a partition
     base, offsets = 0, {}
     for p in sorted(sizes):

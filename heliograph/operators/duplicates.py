@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,11 @@ from heliograph.functions import exprs as X
 from heliograph.functions import hashes as H
 from heliograph.runtime import cut
 
+#: Rows of one side of a task of the block product, about; each row goes to as many tasks as there are groups.
+GROUP = 32_768
+#: Rows of either side of one product within a task: 16 MB of float32.
+BLOCK = 2_048
+
 
 def exact_groups(photos: DataFrame, key: str = "sha256_hash") -> DataFrame:
     """Members of every digest that several photos share, with their position by taken_at and path."""
@@ -65,25 +72,73 @@ def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return state.join(joined, "pos", "left").select("pos", F.when(F.col("leads"), F.col("pos")).otherwise(F.col("first")).alias("leader"))
 
 
+def _block_pairs(rows: DataFrame, unpack: Callable[[pa.ChunkedArray], np.ndarray], compare: Callable[[np.ndarray, np.ndarray], tuple], name: str, kind: str) -> DataFrame:
+    """(i, j, ``name``) of all pairs i < j of ``rows`` (pos, x) that ``compare`` keeps, by block matrix products.
+
+    ``unpack`` makes a matrix of the values of x, and ``compare`` gives (row, column, value) of the pairs to keep of two
+    matrices. Rows are dealt into groups of about ``GROUP``; each pair of groups is one task, so the tasks and the copies of
+    the rows grow with the square of their number.
+    """
+    rows = cut(rows.where("pos IS NOT NULL AND x IS NOT NULL"))
+    groups = max(-(-rows.count() // GROUP), 3)
+    g = F.pmod(F.xxhash64("pos"), F.lit(groups)).cast("int")
+    keyed = rows.select("pos", "x", g.alias("g"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h"))
+    keyed = keyed.select("pos", "x", "g", F.least("g", "h").alias("lo"), F.greatest("g", "h").alias("hi"))
+
+    def task(table: pa.Table) -> pa.Table:
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        pos, side = table.column("pos").to_numpy(), table.column("g").to_numpy()
+        x = unpack(table.column("x"))
+        first, second = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for s in range(0, len(first), BLOCK):
+            at = first[s : s + BLOCK]
+            for t in range(s if lo == hi else 0, len(second), BLOCK):
+                to = second[t : t + BLOCK]
+                row, column, value = compare(x[at], x[to])
+                a, b = pos[at[row]], pos[to[column]]
+                keep = a < b if lo == hi and s == t else a != b
+                parts.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], value[keep]))
+        i, j, value = (np.concatenate(p) for p in zip(*parts, strict=True))
+        return pa.table({"i": i, "j": j, name: value.astype(np.int32) if kind == "int" else value})
+
+    tasks = groups * (groups + 1) // 2
+    return keyed.repartition(max(2 * tasks, 8), "lo", "hi").groupBy("lo", "hi").applyInArrow(task, f"i bigint, j bigint, {name} {kind}")
+
+
+def _apart(threshold: int) -> Callable[[np.ndarray, np.ndarray], tuple]:
+    def compare(a: np.ndarray, b: np.ndarray) -> tuple:
+        # bits as +1 and -1: the product is 256 less twice the differing bits, exact in float32
+        product = a @ b.T
+        row, column = np.divmod(np.flatnonzero(product >= 256 - 2 * threshold), len(b))
+        return row, column, (256 - product[row, column]) / 2
+
+    return compare
+
+
+def _signs(column: pa.ChunkedArray) -> np.ndarray:
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32)
+    return np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
+
+
 def hamming_edges(photos: DataFrame, threshold: int) -> DataFrame:
     """(i, j, distance) of photos with pos, in order of pos, whose hashes differ in at most ``threshold`` of 256 bits.
 
     Up to 16 bits the pairs come from bands that must agree up to one bit; above, no band prunes enough, and the join is a
-    comparison of all pairs, as the rule defines it.
+    comparison of all pairs, as the rule defines it, by block products of the bits.
     """
+    if threshold > 16:
+        return _block_pairs(photos.select("pos", F.col("bits").alias("x")), _signs, _apart(threshold), "distance", "int")
     words = photos.select("pos", H.words64(F.col("bits")).alias("w"))
-    if threshold <= 16:
-        hexed = photos.select("pos", F.hex("bits").alias("x"))
-        # 17 pieces of 15 or 16 bits: at most 16 differing bits leave one piece equal
-        binary = hexed.select("pos", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.lpad(F.conv(F.substring("x", k * 4 + 1, F.lit(4)), 16, 2), 16, "0")), "").alias("b"))
-        edges = [256 * k // 17 for k in range(18)]
-        pieces = binary.select("pos", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.substring("b", edges[k] + 1, edges[k + 1] - edges[k]).alias("piece")) for k in range(17)))))
-        pairs = pieces.alias("a").join(pieces.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.pos") < F.col("b.pos")))
-        pairs = pairs.select(F.col("a.pos").alias("i"), F.col("b.pos").alias("j")).distinct()
-        left, right = words.select(F.col("pos").alias("i"), F.col("w").alias("wi")), words.select(F.col("pos").alias("j"), F.col("w").alias("wj"))
-        found = pairs.join(left, "i").join(right, "j")
-    else:
-        found = words.select(F.col("pos").alias("i"), F.col("w").alias("wi")).join(words.select(F.col("pos").alias("j"), F.col("w").alias("wj")), F.col("i") < F.col("j"))
+    hexed = photos.select("pos", F.hex("bits").alias("x"))
+    # 17 pieces of 15 or 16 bits: at most 16 differing bits leave one piece equal
+    binary = hexed.select("pos", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.lpad(F.conv(F.substring("x", k * 4 + 1, F.lit(4)), 16, 2), 16, "0")), "").alias("b"))
+    edges = [256 * k // 17 for k in range(18)]
+    pieces = binary.select("pos", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.substring("b", edges[k] + 1, edges[k + 1] - edges[k]).alias("piece")) for k in range(17)))))
+    pairs = pieces.alias("a").join(pieces.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.pos") < F.col("b.pos")))
+    pairs = pairs.select(F.col("a.pos").alias("i"), F.col("b.pos").alias("j")).distinct()
+    left, right = words.select(F.col("pos").alias("i"), F.col("w").alias("wi")), words.select(F.col("pos").alias("j"), F.col("w").alias("wj"))
+    found = pairs.join(left, "i").join(right, "j")
     return found.withColumn("distance", H.hamming(F.col("wi"), F.col("wj"))).where(F.col("distance") <= threshold).select("i", "j", "distance")
 
 
@@ -97,12 +152,13 @@ def with_positions(photos: DataFrame) -> DataFrame:
 
 def perceptual_groups(photos: DataFrame, threshold: int) -> DataFrame:
     """Members of the leader groups of at least two photos, with group_id (the leader's id) and group_type."""
-    placed = cut(with_positions(photos))
+    placed = with_positions(photos.select("id", "path", "perceptual_hash"))
     led = cut(leaders(placed.select("pos"), hamming_edges(placed, threshold)))
     heads = placed.select(F.col("pos").alias("leader"), F.col("id").alias("group_id"))
-    members = placed.join(led, "pos").join(heads, "leader")
+    members = placed.select("id", "pos").join(led, "pos").join(heads, "leader")
     several = led.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1").select("leader")
-    return members.join(several, "leader", "left_semi").withColumn("group_type", F.lit("perceptual")).drop("leader", "bits")
+    members = members.join(several, "leader", "left_semi").select("id", "pos", "group_id")
+    return photos.drop("pos").join(members, "id").withColumn("group_type", F.lit("perceptual"))
 
 
 def box_leaders(boxes: DataFrame, threshold: float, key: str = "photo_id") -> DataFrame:

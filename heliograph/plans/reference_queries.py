@@ -18,6 +18,8 @@ from heliograph.sources import exports
 from heliograph.streaming import ingest
 
 NOW = "2024-01-15T00:00:00"
+#: Differing bits of 256 up to which photos are alike, as the catalogue's settings have it.
+ALIKE = 50
 DIRECTORY = "/vault/harbour"
 CAMERA_ROLL = "/vault/harbour/phone-sync/Camera Uploads"
 
@@ -215,8 +217,8 @@ _add(
     "SELECT id, (2 * CAST(contains(lower(description), 'bridge') AS INT) + CAST(contains(lower(description), 'light') AS INT) + CAST(contains(lower(description), 'view') AS INT)) / 4 AS similarity FROM photos WHERE description IS NOT NULL AND similarity > 0 ORDER BY similarity DESC, id LIMIT 20",
 )
 _add("f6_cascade", lambda t: search.cascade(t.photo_embeddings.limit(0), t.photos, "bridge"), "SELECT id AS photo_id, 1.0::DOUBLE AS similarity, path, filename FROM photos WHERE contains(lower(description), 'bridge') ORDER BY id LIMIT 20")
-_add("f7_perceptual_groups", lambda t: duplicates.perceptual_groups(t.photos, 16).select("group_id", "id"))
-_add("f8_duplicate_report", lambda t: duplicates.exact_groups(t.photos).select("group_type", "id").unionByName(duplicates.perceptual_groups(t.photos, 16).select("group_type", "id")))
+_add("f7_perceptual_groups", lambda t: duplicates.perceptual_groups(t.photos, ALIKE).select("group_id", "id"))
+_add("f8_duplicate_report", lambda t: duplicates.exact_groups(t.photos).select("group_type", "id").unionByName(duplicates.perceptual_groups(t.photos, ALIKE).select("group_type", "id")))
 _add("f9_scores", lambda t: t.photos.select("id", X.quality_score(F.col("width"), F.col("height"), F.col("size_bytes"), F.col("taken_at")).alias("score")), f"SELECT id, CAST(floor(coalesce(CAST(width AS DOUBLE) * height / 10000, 0)) + floor(coalesce(size_bytes, 0) / 100000) + CASE WHEN taken_at IS NULL THEN 0 ELSE 10 END AS BIGINT) AS score FROM photos")
 _FLOOR = "CAST(floor(coalesce(CAST(width AS DOUBLE) * height / 10000, 0)) + floor(coalesce(size_bytes, 0) / 100000) + CASE WHEN taken_at IS NULL THEN 0 ELSE 10 END AS BIGINT)"
 _add("f10_keep_best", lambda t: duplicates.keep_best(duplicates.exact_groups(t.photos), "sha256_hash").select("sha256_hash", "id", "score", "delete"), f"WITH {_EXACT} SELECT sha256_hash, id, {_FLOOR} AS score, row_number() OVER (PARTITION BY sha256_hash ORDER BY {_FLOOR} DESC, pos) > 1 OR coalesce(marked_for_deletion, false) AS delete FROM g")
@@ -328,7 +330,7 @@ _add("f20_clipped_boxes", lambda t: t.faces.where("confidence > 0.7").select("id
 _add("f21_padded_boxes", lambda t: t.faces.join(t.photos.select(F.col("id").alias("photo_id"), "width"), "photo_id").select("id", X.padded("bbox_x", "bbox_w", F.col("width"))[0].alias("x"), X.padded("bbox_x", "bbox_w", F.col("width"))[1].alias("w")), "SELECT f.id, greatest(0, bbox_x - bbox_w // 5) AS x, least(bbox_w + 2 * (bbox_w // 5), width - greatest(0, bbox_x - bbox_w // 5)) AS w FROM faces f JOIN photos p ON p.id = f.photo_id")
 _add("f25_one_group", lambda t: duplicates.exact_groups(t.photos.where(F.col("sha256_hash") == t.photos.groupBy("sha256_hash").count().where("sha256_hash IS NOT NULL AND count > 1").agg(F.min("sha256_hash")).first()[0])).select("id", "pos"), "WITH h AS (SELECT min(sha256_hash) AS s FROM (SELECT sha256_hash FROM photos GROUP BY 1 HAVING count(*) > 1 AND sha256_hash IS NOT NULL)) SELECT id, CAST(row_number() OVER (ORDER BY taken_at NULLS FIRST, path) AS INT) AS pos FROM photos, h WHERE sha256_hash = s")
 _add("f27_hit", lambda t: t.photos.where("id = 5").select("id", "path", "filename", F.lit(0.5).alias("similarity")), "SELECT id, path, filename, 0.5::DOUBLE AS similarity FROM photos WHERE id = 5")
-_add("d12_similar_hashes", lambda t: duplicates.hamming_edges(t.photos.select(F.col("id").alias("pos"), duplicates.H.perceptual_bits(F.col("perceptual_hash")).alias("bits")).where("bits IS NOT NULL"), 16))
+_add("d12_similar_hashes", lambda t: duplicates.hamming_edges(t.photos.select(F.col("id").alias("pos"), duplicates.H.perceptual_bits(F.col("perceptual_hash")).alias("bits")).where("bits IS NOT NULL"), ALIKE))
 _add("d14_query_vector", lambda t: search.by_vector(t.embeddings, [1.0] + [0.0] * 63, 10, -1.0, "vec_id"), "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], [1.0] || list_transform(range(63), lambda x: 0.0)), 6) AS similarity FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10")
 _add("d15_listing_join", lambda t: t.incoming_photos.select("path").distinct().join(t.photos.select("path", "modified_at"), "path", "left"), "SELECT DISTINCT i.path, p.modified_at FROM incoming_photos i LEFT JOIN photos p ON p.path = i.path")
 _add("e15_scan_summary", lambda t: pipelines.scan_actions(t.photos.select("path"), t.photos.where("width IS NOT NULL")).groupBy("action").agg(F.count("*").alias("n")), "SELECT CASE WHEN width IS NULL THEN 'insert' ELSE 'update' END AS action, count(*) AS n FROM photos GROUP BY 1")

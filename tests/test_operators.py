@@ -230,3 +230,38 @@ def test_rest_works_without_optional_package(monkeypatch):
 
     monkeypatch.setattr(entry, "_extra", lambda: None)
     assert not any(name.startswith(("p2_", "p4_")) for name in entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_photos_alike_up_to_50_bits(spark, monkeypatch):
+    from heliograph.plans import registry
+
+    root = "/root/testdata/sf0.001"
+    monkeypatch.setattr(duplicates, "GROUP", 60)
+    monkeypatch.setattr(duplicates, "BLOCK", 16)
+    photos = spark.read.parquet(f"{root}/photos.parquet")
+    rows = {r["id"]: (r["path"], int.from_bytes(r["b"], "big")) for r in photos.select("id", "path", H.perceptual_bits(F.col("perceptual_hash")).alias("b")).where("b IS NOT NULL").collect()}
+    apart = {(i, j): (rows[i][1] ^ rows[j][1]).bit_count() for i in rows for j in rows if i < j}
+    near = {p: n for p, n in apart.items() if n <= 50}
+    assert any(n > 16 for n in near.values())
+    assert {(r["i"], r["j"]): r["distance"] for r in registry.QUERIES["d12_similar_hashes"](spark, root).collect()} == near
+    groups, used, order = set(), set(), sorted(rows, key=lambda k: rows[k][0])
+    for k, i in enumerate(order):
+        if i not in used:
+            members = [i] + [j for j in order[k + 1 :] if j not in used and (min(i, j), max(i, j)) in near]
+            used.update(members)
+            groups |= {(i, j) for j in members if len(members) > 1}
+    assert {(r["group_id"], r["id"]) for r in registry.QUERIES["f7_perceptual_groups"](spark, root).collect()} == groups
+    report = registry.QUERIES["f8_duplicate_report"](spark, root).where("group_type = 'perceptual'")
+    assert sorted(r["id"] for r in report.collect()) == sorted(j for _, j in groups)
+
+
+def test_ids_of_many_partitions_are_dense(spark):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        path = F.sha2(F.col("n").cast("string"), 256)
+        fresh = spark.range(30_000).select(F.col("id").alias("n")).select(path.alias("path"), F.concat(*(F.sha2(F.concat(F.col("n"), F.lit(f"-{k}")), 512) for k in range(10))).alias("wide"))
+        got = assign_ids(fresh, spark.createDataFrame([(5,)], "id bigint"), ["path"]).select("id", "path", "wide").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert [r["id"] for r in sorted(got, key=lambda r: r["path"])] == list(range(6, 30_006))
