@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -142,6 +143,30 @@ def hamming_edges(photos: DataFrame, threshold: int) -> DataFrame:
     return found.withColumn("distance", H.hamming(F.col("wi"), F.col("wj"))).where(F.col("distance") <= threshold).select("i", "j", "distance")
 
 
+def similar_vectors(vectors: DataFrame, least: float) -> DataFrame:
+    """(i, j, similarity) of all pairs i < j of (pos, x) whose cosine, to six decimals, is at or above ``least``.
+
+    ``least`` is above 0, so vectors of different lengths and zero vectors are in no pair; vectors with null or non-finite
+    numbers are left out.
+    """
+    x = F.col("x").cast("array<double>")
+    good = (F.size("x") > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
+    rows = cut(vectors.where(good).select("pos", x.alias("x")))
+    parts = [rows.where(F.size("x") == r["n"]) for r in rows.select(F.size("x").alias("n")).distinct().collect()]  # as many as lengths
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        raw = column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+        return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+    def compare(a: np.ndarray, b: np.ndarray) -> tuple:
+        value = np.round(a @ b.T, 6)
+        row, column = np.nonzero(value >= least)
+        return row, column, value[row, column]
+
+    found = [_block_pairs(p, matrix, compare, "similarity", "double") for p in parts]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "i bigint, j bigint, similarity double")
+
+
 def with_positions(photos: DataFrame) -> DataFrame:
     """Photos with a readable hash and their rank by path, from counts of range partitions rather than a global window."""
     from heliograph.catalog import assign_ids

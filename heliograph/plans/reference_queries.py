@@ -182,6 +182,12 @@ _add(
     lambda t: duplicates.pairwise(t.embeddings.select(F.col("vec_id").alias("i"), F.col("embedding").alias("x")).where("i % 100 = 0"), t.embeddings.select(F.col("vec_id").alias("j"), F.col("embedding").alias("y")), X.cosine, 0.3),
     "SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 100 = 0 AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3",
 )
+# the whole join; d13_similar_vectors and its SQL keep to the rows whose number ends in 00
+_add(
+    "d13_all_similar_vectors",
+    lambda t: duplicates.similar_vectors(t.embeddings.select(F.col("vec_id").alias("pos"), F.col("embedding").alias("x")), 0.3),
+    "SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3",
+)
 
 # E: aggregations
 for _n, _t in (("e1_photos", "photos"), ("e2_faces", "faces"), ("e3_people", "people"), ("e4_vectors", "photo_embeddings")):

@@ -265,3 +265,15 @@ def test_ids_of_many_partitions_are_dense(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
     assert [r["id"] for r in sorted(got, key=lambda r: r["path"])] == list(range(6, 30_006))
+
+
+def test_similar_vectors_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "GROUP", 30)
+    monkeypatch.setattr(duplicates, "BLOCK", 8)
+    rng = random.Random(4)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4 if k % 9 else 3)]) for k in range(120)] + [(120, [0.0] * 4), (121, None), (122, [])]
+    df = spark.createDataFrame(rows, "pos bigint, x array<double>")
+    sides = [df.select(F.col("pos").alias(c), F.col("x").alias(v)) for c, v in (("i", "x"), ("j", "y"))]
+    expected = {(r["i"], r["j"]): r["similarity"] for r in duplicates.pairwise(*sides, X.cosine, 0.3).collect()}
+    got = duplicates.similar_vectors(df, 0.3).collect()
+    assert len(expected) > 500 and len(got) == len(expected) and {(r["i"], r["j"]): r["similarity"] for r in got} == pytest.approx(expected)
