@@ -9,10 +9,13 @@ from heliograph.functions import exprs as X
 
 
 def by_vector(vectors: DataFrame, query: list[float], k: int, least: float, id_column: str = "photo_id", vector: str = "embedding") -> DataFrame:
-    """(id, similarity) of the k most similar vectors at or above ``least``; one scan and a top-k, no shuffle of vectors."""
+    """(id, similarity) of the k most similar vectors at or above ``least``; one scan and a top-k, no shuffle of vectors.
+
+    Vectors that give no number, as those with NaN, are no hits.
+    """
     q = F.lit(query).cast("array<double>")
     scored = vectors.select(F.col(id_column), F.round(X.cosine(F.col(vector), q), 6).alias("similarity"))
-    return scored.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), id_column).limit(k)
+    return scored.where((F.col("similarity") >= least) & ~F.isnan("similarity")).orderBy(F.desc("similarity"), id_column).limit(k)
 
 
 def with_photos(hits: DataFrame, photos: DataFrame) -> DataFrame:

@@ -222,7 +222,24 @@ _add(
     lambda t: search.by_words(t.photos, "bridge Light bridge view", 20),
     "SELECT id, (2 * CAST(contains(lower(description), 'bridge') AS INT) + CAST(contains(lower(description), 'light') AS INT) + CAST(contains(lower(description), 'view') AS INT)) / 4 AS similarity FROM photos WHERE description IS NOT NULL AND similarity > 0 ORDER BY similarity DESC, id LIMIT 20",
 )
-_add("f6_cascade", lambda t: search.cascade(t.photo_embeddings.limit(0), t.photos, "bridge"), "SELECT id AS photo_id, 1.0::DOUBLE AS similarity, path, filename FROM photos WHERE contains(lower(description), 'bridge') ORDER BY id LIMIT 20")
+
+
+# stand-ins for the models of the cascade: one finds nothing like any text, the other takes a text for a stored vector
+def _knows_nothing(text: str) -> list[float]:
+    return [0.0] * 128
+
+
+def _stored(t: Tables):
+    return lambda text: t.photo_embeddings.where("size(embedding) = 128").orderBy("photo_id").first()["embedding"]
+
+
+def _nearest(least: float) -> str:
+    return f"WITH v AS MATERIALIZED (SELECT photo_id, embedding::DOUBLE[] AS e FROM photo_embeddings WHERE len(embedding) = 128), q AS (SELECT e AS one FROM v ORDER BY photo_id LIMIT 1), s AS (SELECT photo_id, round(list_cosine_similarity(e, one), 6) AS similarity FROM v, q), h AS (SELECT * FROM s WHERE similarity >= {least} AND NOT isnan(similarity) ORDER BY similarity DESC, photo_id LIMIT 20) SELECT photo_id, similarity, path, filename FROM h JOIN photos ON id = photo_id"
+
+
+_add("f6_cascade_image", lambda t: search.cascade(t.photo_embeddings, t.photos, "bridge", _stored(t), _knows_nothing), _nearest(0.2))
+_add("f6_cascade_provider", lambda t: search.cascade(t.photo_embeddings, t.photos, "bridge", _knows_nothing, _stored(t)), _nearest(0.3))
+_add("f6_cascade", lambda t: search.cascade(t.photo_embeddings, t.photos, "bridge", _knows_nothing, _knows_nothing), "SELECT id AS photo_id, 1.0::DOUBLE AS similarity, path, filename FROM photos WHERE contains(lower(description), 'bridge') ORDER BY id LIMIT 20")
 _add("f7_perceptual_groups", lambda t: duplicates.perceptual_groups(t.photos, ALIKE).select("group_id", "id"))
 _add("f8_duplicate_report", lambda t: duplicates.exact_groups(t.photos).select("group_type", "id").unionByName(duplicates.perceptual_groups(t.photos, ALIKE).select("group_type", "id")))
 _add("f9_scores", lambda t: t.photos.select("id", X.quality_score(F.col("width"), F.col("height"), F.col("size_bytes"), F.col("taken_at")).alias("score")), f"SELECT id, CAST(floor(coalesce(CAST(width AS DOUBLE) * height / 10000, 0)) + floor(coalesce(size_bytes, 0) / 100000) + CASE WHEN taken_at IS NULL THEN 0 ELSE 10 END AS BIGINT) AS score FROM photos")

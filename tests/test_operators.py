@@ -277,3 +277,8 @@ def test_similar_vectors_of_all_rows(spark, monkeypatch):
     expected = {(r["i"], r["j"]): r["similarity"] for r in duplicates.pairwise(*sides, X.cosine, 0.3).collect()}
     got = duplicates.similar_vectors(df, 0.3).collect()
     assert len(expected) > 500 and len(got) == len(expected) and {(r["i"], r["j"]): r["similarity"] for r in got} == pytest.approx(expected)
+
+
+def test_vectors_without_a_number_are_no_hits(spark):
+    vectors = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0])], "photo_id bigint, embedding array<double>")
+    assert [r["photo_id"] for r in search.by_vector(vectors, [1.0, 0.0], 5, 0.2).collect()] == [2]
