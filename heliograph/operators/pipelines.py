@@ -135,9 +135,24 @@ def rename_conflicts(plan: DataFrame, existing: DataFrame) -> DataFrame:
     return twice.unionByName(there)
 
 
+def _gallery_orders() -> dict[str, list[Column]]:
+    return {"name": [F.col("filename").asc_nulls_first(), F.col("id")], "date": [F.desc_nulls_last("modified_at"), F.col("id")], "size": [F.desc_nulls_last("size_bytes"), F.col("id")]}
+
+
 def gallery(photos: DataFrame, by: str = "name") -> DataFrame:
-    order = {"name": [F.lower("filename"), F.col("id")], "date": [F.desc_nulls_last("modified_at"), F.col("id")], "size": [F.desc_nulls_last("size_bytes"), F.col("id")]}[by]
-    return photos.orderBy(*order)
+    """Photos by name (by its bytes), newest first or largest first."""
+    return photos.orderBy(*_gallery_orders()[by])
+
+
+def gallery_ranks(photos: DataFrame) -> DataFrame:
+    """(id, name_rank, date_rank, size_rank): the place of every photo, from 1, in each order of the gallery."""
+    from heliograph.catalog import assign_ids
+
+    ranked = photos.select("id", "filename", "modified_at", "size_bytes")
+    for by, order in _gallery_orders().items():
+        rank = f"{by}_rank"
+        ranked = assign_ids(ranked, photos.where(F.lit(False)).select(F.lit(0).cast("bigint").alias(rank)), order, rank)
+    return ranked.select("id", "name_rank", "date_rank", "size_rank")
 
 
 def parse_reply(df: DataFrame, text: str = "text") -> DataFrame:

@@ -407,6 +407,8 @@ _add("h14_overdue_selected", lambda t: lookups.overdue(t.scheduled_tasks, NOW).w
 _add("i4_filename_parts", lambda t: pipelines.filename_parts(t.photos).select("id", "p_date", "p_ext", "p_stem"), "SELECT id, CASE WHEN regexp_full_match(taken_at, '\\d{4}[-:]\\d{2}[-:]\\d{2} \\d{2}:\\d{2}:\\d{2}') THEN strftime(try_strptime(taken_at, ['%Y-%m-%d %H:%M:%S', '%Y:%m:%d %H:%M:%S']), '%Y%m%d') END AS p_date, coalesce(nullif(lower(regexp_extract(path, '\\.([^./]+)$', 1)), ''), 'jpg') AS p_ext, regexp_replace(filename, '(.)\\.[^.]*$', '\\1') AS p_stem FROM photos")
 _add("i5_filenames", lambda t: pipelines.filename_parts(t.photos).select("id", pipelines.render_filename(F.lit(1)).alias("name")))
 _add("j1_by_size", lambda t: pipelines.gallery(t.photos, "size").select("id").limit(100), "SELECT id FROM photos ORDER BY size_bytes DESC NULLS LAST, id LIMIT 100")
+# every photo in each order; j1_by_size and its SQL stop at the first hundred
+_add("j1_ranks", lambda t: pipelines.gallery_ranks(t.photos), "SELECT id, row_number() OVER (ORDER BY filename NULLS FIRST, id) AS name_rank, row_number() OVER (ORDER BY modified_at DESC NULLS LAST, id) AS date_rank, row_number() OVER (ORDER BY size_bytes DESC NULLS LAST, id) AS size_rank FROM photos")
 _add("j8_paste", lambda t: t.incoming_photos.select(X.basename(F.col("path")).alias("filename")).distinct().join(t.photos.select("filename"), "filename", "left_anti"), "SELECT DISTINCT regexp_extract(path, '([^/]*)$', 1) AS filename FROM incoming_photos WHERE regexp_extract(path, '([^/]*)$', 1) NOT IN (SELECT filename FROM photos)")
 _add("l2_prompts", lambda t: t.photos.join(t.directory_prompts, "directory", "left").select("id", pipelines.prompt(F.lit("Describe."), F.col("custom_prompt")).alias("prompt")), "SELECT p.id, CASE WHEN d.custom_prompt <> '' THEN 'Context: ' || d.custom_prompt || chr(10) || chr(10) || 'Describe.' ELSE 'Describe.' END AS prompt FROM photos p LEFT JOIN directory_prompts d ON d.directory = p.directory")
 _add("b6_copy_missing", lambda t: exports.copy_missing(t.photos.select("id"), t.photos.where("is_favorite").select("id"), ["id"]), "SELECT id FROM photos WHERE NOT coalesce(is_favorite, false)")
