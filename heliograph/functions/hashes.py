@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 _B64 = r"^[A-Za-z0-9+/_-]{43}=?$"
 _HEX = r"^[0-9A-Fa-f]{64}$"
+#: What may follow the name of an algorithm: 32 bytes in hexadecimal, with separators or without, or in base64.
+_DIGEST = r"([0-9a-f]{2}[:-]?){32}$|[a-z0-9+/_-]{43}=?$"
 
 
 def _bytes32(text: Column) -> Column:
@@ -21,13 +23,14 @@ def perceptual_bits(text: Column) -> Column:
 
     Null for anything that is not exactly 256 bits, and for the hash of all zero bits.
     """
-    found = _bytes32(F.regexp_replace(F.regexp_replace(text, r"\s+", ""), "^0[xX]", ""))
+    # a base64 value may begin with 0x too, so the prefix counts only before 64 hexadecimal digits
+    found = _bytes32(F.regexp_replace(F.regexp_replace(text, r"\s+", ""), "^0[xX](?=[0-9A-Fa-f]{64}$)", ""))
     return F.when(F.hex(found) != "0" * 64, found)
 
 
 def sha256_bytes(text: Column) -> Column:
     """The 32 bytes of a SHA-256 digest; blanks, case, separators and a leading algorithm name do not matter."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"\s+", ""), r"(?i)^(sha-?256[:=-]|0x)", "")
+    bare = F.regexp_replace(F.regexp_replace(text, r"\s+", ""), rf"(?i)^(sha-?256[:=-](?={_DIGEST})|0x(?=([0-9a-f]{{2}}[:-]?){{32}}$))", "")
     return _bytes32(F.when(bare.rlike(r"^([0-9A-Fa-f]{2}[:-]){31}[0-9A-Fa-f]{2}$"), F.regexp_replace(bare, "[:-]", "")).otherwise(bare))
 
 

@@ -15,6 +15,10 @@ METADATA = [
 ]
 
 
+#: Numbers that are no numbers are kept as null.
+_REALS = ("focal_length", "aperture", "gps_latitude", "gps_longitude")
+
+
 def value_of(df: DataFrame, key: str, wanted, column: str) -> DataFrame:
     """One column of the rows with a key, no row where there is none."""
     return df.where(F.col(key) == wanted).select(column)
@@ -30,10 +34,11 @@ def mtimes_in_directory(photos: DataFrame, directory: str) -> DataFrame:
 
 
 def metadata(photos: DataFrame, faces: DataFrame, people: DataFrame) -> DataFrame:
-    """Photos with their face count and the sorted distinct names of the people in them."""
+    """Photos with their face count and the sorted distinct names of the people in them; NaN counts as null."""
     named = faces.join(people.select(F.col("id").alias("person_id"), "name"), "person_id", "left")
     seen = named.groupBy(F.col("photo_id").alias("id")).agg(F.count("*").alias("face_count"), F.array_sort(F.collect_set("name")).alias("people"))
-    return photos.select(*METADATA).join(seen, "id", "left").withColumns({"face_count": F.coalesce("face_count", F.lit(0)), "people": F.coalesce("people", F.array().cast("array<string>"))})
+    own = photos.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if c in _REALS else F.col(c) for c in METADATA))
+    return own.join(seen, "id", "left").withColumns({"face_count": F.coalesce("face_count", F.lit(0)), "people": F.coalesce("people", F.array().cast("array<string>"))})
 
 
 def rotations(photos: DataFrame) -> DataFrame:

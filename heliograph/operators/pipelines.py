@@ -80,7 +80,7 @@ def render_filename(count: Column, longest: int = 100) -> Column:
     parts = F.filter(F.array(when, F.col("p_event"), F.col("p_people"), F.col("p_brief")), lambda x: x.isNotNull() & (x != ""))
     bare = (F.size(parts) == 0) | ((F.size(parts) == 1) & F.col("p_date").isNull())
     chosen = F.when(bare, F.array(F.lit(X.NO_CATEGORY), X.sanitise(F.col("p_stem")))).otherwise(parts)
-    name = F.concat(F.array_join(chosen, "_"), F.lit("_"), F.lpad(count.cast("string"), 3, "0"))
+    name = F.concat(F.array_join(chosen, "_"), F.lit("_"), F.format_string("%03d", count.cast("bigint")))
     room = longest - F.length("p_ext") - 1
     cut = F.when(F.length(name) > room, F.regexp_replace(F.substring(name, F.lit(1), room), "[_-]+$", "")).otherwise(name)
     return F.concat(cut, F.lit("."), F.col("p_ext"))
@@ -121,7 +121,7 @@ def rename_plan(files: DataFrame, template: str) -> DataFrame:
     days, secs = F.floor(F.col("mtime_s") / 86400), F.pmod(F.col("mtime_s"), F.lit(86400))
     date = F.format_string("%04d%02d%02d", (1970 + F.floor(days / 365)).cast("int"), (F.floor(F.pmod(days, F.lit(365)) / 30) + 1).cast("int"), (F.pmod(F.pmod(days, F.lit(365)), F.lit(30)) + 1).cast("int"))
     time = F.format_string("%02d%02d%02d", F.floor(secs / 3600).cast("int"), F.floor(F.pmod(secs, F.lit(3600)) / 60).cast("int"), F.pmod(secs, F.lit(60)).cast("int"))
-    values = {"{name}": X.stem(F.col("filename")), "{ext}": X.extension(F.col("path")), "{date}": date, "{time}": time, "{counter}": F.lpad(F.col("n").cast("string"), 3, "0"), "{c}": F.col("n").cast("string")}
+    values = {"{name}": X.stem(F.col("filename")), "{ext}": X.extension(F.col("path")), "{date}": date, "{time}": time, "{counter}": F.format_string("%03d", F.col("n").cast("bigint")), "{c}": F.col("n").cast("string")}
     name = F.lit(template)
     for key, value in values.items():
         name = F.replace(name, F.lit(key), value)

@@ -120,7 +120,7 @@ def _columns(names: list[str]) -> str:
     return ", ".join(names)
 
 
-R, E, M = _columns(lookups.RECORD), _columns(lookups.EXPORT), _columns(lookups.METADATA)
+R, E = _columns(lookups.RECORD), _columns(lookups.EXPORT)
 FACE = _columns(relations.FACE)
 BASE = "regexp_extract(path, '([^/]*)$', 1)"
 
@@ -134,7 +134,7 @@ _add("c6_mtimes", lambda t: lookups.mtimes_in_directory(t.photos, CAMERA_ROLL),
 _add(
     "c7_metadata",
     lambda t: lookups.metadata(t.photos, t.faces, t.people).withColumn("people", F.array_join("people", "|")),
-    f"WITH seen AS (SELECT f.photo_id, count(*) AS n, string_agg(DISTINCT p.name, '|' ORDER BY p.name) AS names FROM faces f LEFT JOIN people p ON p.id = f.person_id GROUP BY 1) SELECT {M}, coalesce(n, 0) AS face_count, coalesce(names, '') AS people FROM photos LEFT JOIN seen ON photo_id = id",
+    f"WITH seen AS (SELECT f.photo_id, count(*) AS n, string_agg(DISTINCT p.name, '|' ORDER BY p.name) AS names FROM faces f LEFT JOIN people p ON p.id = f.person_id GROUP BY 1) SELECT {_columns([f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" if c in lookups._REALS else c for c in lookups.METADATA])}, coalesce(n, 0) AS face_count, coalesce(names, '') AS people FROM photos LEFT JOIN seen ON photo_id = id",
 )
 _add(
     "c8_rotation", lambda t: lookups.rotations(t.photos),
@@ -179,12 +179,6 @@ _add("d10_album_paths", lambda t: relations.album_paths(t.photos, t.album_photos
 _add("d11_person_by_name", lambda t: relations.people_with_counts(t.people, t.faces, name="ANNA"), "SELECT p.id, p.name, count(f.id) AS face_count FROM people p LEFT JOIN faces f ON f.person_id = p.id WHERE lower(p.name) = 'anna' GROUP BY 1, 2")
 _add(
     "d13_similar_vectors",
-    lambda t: duplicates.pairwise(t.embeddings.select(F.col("vec_id").alias("i"), F.col("embedding").alias("x")).where("i % 100 = 0"), t.embeddings.select(F.col("vec_id").alias("j"), F.col("embedding").alias("y")), X.cosine, 0.3),
-    "SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 100 = 0 AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3",
-)
-# the whole join; d13_similar_vectors and its SQL keep to the rows whose number ends in 00
-_add(
-    "d13_all_similar_vectors",
     lambda t: duplicates.similar_vectors(t.embeddings.select(F.col("vec_id").alias("pos"), F.col("embedding").alias("x")), 0.3),
     "SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3",
 )
@@ -255,9 +249,8 @@ _add("f14_remove_members", lambda t: duplicates.remove_members(duplicates.exact_
 
 
 def _face_leaders(t: Tables) -> DataFrame:
-    x = t.embeddings.select(F.col("vec_id").alias("pos"), "embedding")
-    edges = duplicates.pairwise(x.select(F.col("pos").alias("i"), F.col("embedding").alias("x")), x.select(F.col("pos").alias("j"), F.col("embedding").alias("y")), X.cosine, 0.3)
-    return duplicates.leaders(x.select("pos"), edges)
+    x = t.embeddings.select(F.col("vec_id").alias("pos"), F.col("embedding").alias("x"))
+    return duplicates.leaders(x.select("pos"), duplicates.similar_vectors(x, 0.3))
 
 
 _add(
@@ -406,8 +399,6 @@ _add("h8_trash_names", lambda t: t.photos.select("id", pipelines.trash_name(F.co
 _add("h14_overdue_selected", lambda t: lookups.overdue(t.scheduled_tasks, NOW).where("id <= 100").select("id"), f"SELECT id FROM scheduled_tasks WHERE status = 'pending' AND scheduled_at < '{NOW}' AND id <= 100")
 _add("i4_filename_parts", lambda t: pipelines.filename_parts(t.photos).select("id", "p_date", "p_ext", "p_stem"), "SELECT id, CASE WHEN regexp_full_match(taken_at, '\\d{4}[-:]\\d{2}[-:]\\d{2} \\d{2}:\\d{2}:\\d{2}') THEN strftime(try_strptime(taken_at, ['%Y-%m-%d %H:%M:%S', '%Y:%m:%d %H:%M:%S']), '%Y%m%d') END AS p_date, coalesce(nullif(lower(regexp_extract(path, '\\.([^./]+)$', 1)), ''), 'jpg') AS p_ext, regexp_replace(filename, '(.)\\.[^.]*$', '\\1') AS p_stem FROM photos")
 _add("i5_filenames", lambda t: pipelines.filename_parts(t.photos).select("id", pipelines.render_filename(F.lit(1)).alias("name")))
-_add("j1_by_size", lambda t: pipelines.gallery(t.photos, "size").select("id").limit(100), "SELECT id FROM photos ORDER BY size_bytes DESC NULLS LAST, id LIMIT 100")
-# every photo in each order; j1_by_size and its SQL stop at the first hundred
 _add("j1_ranks", lambda t: pipelines.gallery_ranks(t.photos), "SELECT id, row_number() OVER (ORDER BY filename NULLS FIRST, id) AS name_rank, row_number() OVER (ORDER BY modified_at DESC NULLS LAST, id) AS date_rank, row_number() OVER (ORDER BY size_bytes DESC NULLS LAST, id) AS size_rank FROM photos")
 _add("j8_paste", lambda t: t.incoming_photos.select(X.basename(F.col("path")).alias("filename")).distinct().join(t.photos.select("filename"), "filename", "left_anti"), "SELECT DISTINCT regexp_extract(path, '([^/]*)$', 1) AS filename FROM incoming_photos WHERE regexp_extract(path, '([^/]*)$', 1) NOT IN (SELECT filename FROM photos)")
 _add("l2_prompts", lambda t: t.photos.join(t.directory_prompts, "directory", "left").select("id", pipelines.prompt(F.lit("Describe."), F.col("custom_prompt")).alias("prompt")), "SELECT p.id, CASE WHEN d.custom_prompt <> '' THEN 'Context: ' || d.custom_prompt || chr(10) || chr(10) || 'Describe.' ELSE 'Describe.' END AS prompt FROM photos p LEFT JOIN directory_prompts d ON d.directory = p.directory")

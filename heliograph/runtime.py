@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side table may be broadcast by hand; beyond it Spark chooses the join itself.
 BROADCAST_ROWS = 20_000
+#: Bytes up to which it may, by the lengths of its texts and arrays.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -16,12 +18,20 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, else an error.
+
+    Checkpoints are deleted when nothing refers to them any more.
+    """
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    path = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="heliograph-checkpoint-")
+    path = context.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="heliograph-checkpoint-")
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     context.setCheckpointDir(path)
     return path
 
@@ -33,8 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, otherwise ``df`` as it is."""
-    return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if it has at most ``rows`` rows of at most ``BROADCAST_BYTES`` in all, otherwise ``df`` as it is."""
+    wide = [c for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
+    length = F.lit(16 * len(df.columns))
+    for c, kind in df.dtypes:
+        if c in wide:
+            length = length + F.coalesce(F.octet_length(c) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
 
 def stage(df: DataFrame, **columns: Column) -> DataFrame:

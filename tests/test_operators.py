@@ -84,6 +84,22 @@ def test_hash_spellings(spark):
     assert [r["b"] for r in sha.collect()] == [bytearray(raw)] * 3 + [None]
 
 
+def test_base64_that_begins_like_a_prefix_is_whole(spark):
+    import base64
+
+    texts = ["0x" + "Ab3" * 13 + "bA=", "0X" + "9zQ" * 13 + "9A", "0x" + "ab" * 32, "sha256-" + "Q" * 35 + "A="]
+    raw = [base64.b64decode(texts[0]), base64.b64decode(texts[1] + "="), bytes.fromhex("ab" * 32)]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert [r["b"] for r in df.select(H.perceptual_bits(F.col("s")).alias("b")).collect()][:3] == [bytearray(x) for x in raw]
+    assert [r["b"] for r in df.select(H.sha256_bytes(F.col("s")).alias("b")).collect()] == [*(bytearray(x) for x in raw), bytearray(base64.urlsafe_b64decode(texts[3]))]
+
+
+def test_counters_grow_past_three_digits(spark):
+    files = spark.range(1200).select(F.format_string("/a/%05d.jpg", "id").alias("path"), F.lit("x.jpg").alias("filename"), F.lit(0).alias("mtime_s"))
+    names = [r[0] for r in pipelines.rename_plan(files, "{name}-{counter}.{ext}").select("new_name").collect()]
+    assert len(set(names)) == 1200 and "x-007.jpg" in names and "x-1200.jpg" in names
+
+
 def test_scores_and_keep_best(photos):
     scores = {r["id"]: r["s"] for r in photos.select("id", X.quality_score(F.col("width"), F.col("height"), F.col("size_bytes"), F.col("taken_at")).alias("s")).collect()}
     assert scores == {1: 1219 + 32 + 10, 2: 1251, 3: 10, 4: 11, 5: 1, 6: 0}

@@ -4,6 +4,6 @@ import pytest
 from test_sql import duck, test_query_equals_sql as check  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["d13_all_similar_vectors", "f6_cascade", "f6_cascade_image", "f6_cascade_provider", "j1_ranks"])
+@pytest.mark.parametrize("name", ["d13_similar_vectors", "f6_cascade", "f6_cascade_image", "f6_cascade_provider", "j1_ranks"])
 def test_whole_query_equals_sql(spark, duck, name):  # noqa: F811
     check(spark, duck, name)
