@@ -162,3 +162,28 @@ def test_stuffed_pages_that_fill_their_language_and_length(spark):
     rows = [(k, SPAM["filler"], "en") for k in range(100)] + [(1000 + k, CLEAN["template"], "en") for k in range(20)]
     got = stuffing.find_spam(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(100))
+
+
+def test_copies_of_a_stuffed_page_do_not_become_the_reference(spark):
+    """A third of all rows are one page and its near copies, in a language that has a model."""
+    rng = random.Random(10)
+    nouns = ["".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(4)) for _ in range(900)]
+    small_words = "the a of in and it was on that from with were to for so had them an old two by before still are we up our like at is".split()
+    story = lambda: " ".join(rng.choices(small_words, [1 / (k + 2) for k in range(30)])[0] if rng.random() < 0.5 else rng.choice(nouns) for _ in range(rng.randrange(40, 200)))
+    rows = [(k, story(), "en") for k in range(400)] + [(1000 + k, SPAM["soup"] + (f" page {k}" if k % 2 else ""), "en") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    models = stuffing.language_models(df)
+    assert set(models) == {"en"} and len(models["en"]) <= stuffing.MODEL_WORDS and models["en"]["price"] < 0.02 < models["en"]["the"]
+    figures = stuffing.curves(df)
+    chosen = {r["doc_id"] for r in stuffing.suspects(figures).collect()}
+    assert {1000 + k for k in range(200)} <= chosen and len(chosen) < 240
+    assert {r["doc_id"] for r in stuffing.find_spam(df).collect()} == {1000 + k for k in range(200)}
+
+
+def test_curve_of_a_page(spark):
+    text = "a a a a b b c d " * 3
+    row = stuffing.curves(spark.createDataFrame([(1, text, "xx"), (1, text, "xx"), (2, "too short", "xx"), (None, text, "xx"), (3, None, "xx")], "doc_id bigint, text string, lang string")).collect()
+    assert len(row) == 1 and row[0]["words"] == 24 and row[0]["bucket"] == 4 and row[0]["divergence"] == 1.0
+    slope, at = np.polyfit(np.log([1, 2, 3, 4]), np.log([12, 6, 3, 3]), 1)
+    rest = np.log([12, 6, 3, 3]) - slope * np.log([1, 2, 3, 4]) - at
+    assert abs(row[0]["slope"] - slope) < 1e-9 and abs(row[0]["residual"] - np.sqrt((rest**2).mean())) < 1e-9
