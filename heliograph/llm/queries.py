@@ -26,20 +26,21 @@ def _group_members(spark: SparkSession, root: str) -> DataFrame:
         "id", "path", "taken_at", "modified_at", "scanned_at", "all_exif", "width", "height", "size_bytes", "camera_model", "gps_latitude", "gps_longitude", "trashed_at"
     )
     roots = table(spark, root, "library_roots")
-    taken = timestamps.taken_instants(photos, roots)
+    taken = timestamps.with_source(timestamps.taken_instants(photos, roots), roots).withColumnRenamed("root_dir", "source")
     return survivors.members(table(spark, root, "photo_similarity"), table(spark, root, "similarity_groups"), taken)
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return survivors.best_members(_group_members(spark, root))
+    """The sources are the library directories."""
+    return survivors.best_members(_group_members(spark, root)).select("group_id", "field_name", "photo_id")
 
 
 def p2_fused(spark: SparkSession, root: str) -> DataFrame:
-    """Values of each group's fields by Bayesian fusion; the sources are the library directories."""
-    rows = timestamps.with_source(_group_members(spark, root), table(spark, root, "library_roots"))
+    """Values of each group's fields where any other value may be false."""
+    rows = _group_members(spark, root)
     fields = {"width": F.when(F.col("width") > 0, F.col("width")), "size_bytes": F.col("size_bytes"), "taken_at": F.col("taken_us"), "camera_model": F.col("camera_model")}
     claims = rows.select(
-        F.col("group_id").alias("item"), F.col("root_dir").alias("source"), F.inline(F.array(*(F.struct(F.lit(k).alias("field_name"), v.cast("string").alias("value")) for k, v in fields.items())))
+        F.col("group_id").alias("item"), "source", F.inline(F.array(*(F.struct(F.lit(k).alias("field_name"), v.cast("string").alias("value")) for k, v in fields.items())))
     )
     return survivors.fuse(claims).withColumnRenamed("item", "group_id")
 
