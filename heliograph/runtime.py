@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side table may be broadcast by hand; beyond it Spark chooses the join itself.
@@ -42,17 +42,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows of at most ``BROADCAST_BYTES`` in all, otherwise ``df`` as it is."""
-    wide = [c for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
+def _size(df: DataFrame) -> tuple[Column, Column]:
+    """Aggregates over ``df``: its rows, and their bytes by the lengths of texts and arrays."""
     length = F.lit(16 * len(df.columns))
     for c, kind in df.dtypes:
-        if c in wide:
-            length = length + F.coalesce(F.octet_length(c) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))), F.lit(0))
-    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
+        if kind in ("string", "binary"):
+            length = length + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            length = length + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length.cast("bigint")), F.lit(0)).alias("size")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows of at most ``BROADCAST_BYTES`` in all, otherwise ``df`` as it is."""
+    n, size = df.limit(rows + 1).agg(*_size(df)).first()
     return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
 
+def seen_by(observation: Observation) -> dict[str, int]:
+    """What an observation saw; nothing where the plan was found to be empty before it ran."""
+    return observation.get if observation._jo.getRow().length() else {}
+
+
+def cut_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``small(cut(df))`` in one job: the rows are counted while they are written."""
+    observation = Observation()
+    held = cut(df.observe(observation, *_size(df)))
+    seen = seen_by(observation)
+    return F.broadcast(held) if seen.get("n", 0) <= rows and seen.get("size", 0) <= BROADCAST_BYTES else held
+
+
 def stage(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with further columns that are computed once, here.
 
