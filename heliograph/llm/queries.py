@@ -85,8 +85,9 @@ QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p3_found": p3_found, "p4
 # Hashes as upper-case hexadecimal text, null where they do not give 256 bits.
 _B64 = "hex(from_base64(CASE WHEN regexp_full_match({0}, '[A-Za-z0-9+/_-]{{43}}=?') THEN replace(translate({0}, '-_', '+/'), '=', '') || '=' END))"
 _HASH = f"CASE WHEN regexp_full_match({{0}}, '[0-9A-Fa-f]{{{{64}}}}') THEN upper({{0}}) ELSE {_B64} END"
-_PERCEPTUAL = "nullif(" + _HASH.format("regexp_replace(perceptual_hash, '\\s+', '', 'g')") + ", repeat('0', 64))"
-_SHA = _HASH.format("regexp_replace(regexp_replace(sha256_hash, '\\s+', '', 'g'), '^(?i:sha-?256[:=-]|0x)', '')")
+_BARE = "regexp_replace({0}, '^0[xX]([0-9A-Fa-f]{{64}})$', '\\1')"
+_PERCEPTUAL = "nullif(" + _HASH.format(_BARE.format("regexp_replace(perceptual_hash, '\\s+', '', 'g')")) + ", repeat('0', 64))"
+_SHA = _HASH.format(_BARE.format("regexp_replace(regexp_replace(sha256_hash, '\\s+', '', 'g'), '^(?i:sha-?256[:=-])', '')"))
 _USABLE = "len({0}) = 128 AND len(list_filter({0}, lambda x: x IS NOT NULL AND isfinite(x))) = 128 AND len(list_filter({0}, lambda x: x <> 0)) > 0"
 
 

@@ -35,21 +35,36 @@ def brute(rows):
 def test_against_double_loop(spark):
     rows = make()
     df = spark.createDataFrame([(*r, "x") for r in rows + rows[:20]] + [(None, 1, b"a", None, "x"), (900, None, b"a", None, "x")], SCHEMA + ", key string")
-    for partitions in (None, 3):
-        got = [tuple(r) for r in batches.find_duplicates(df, partitions).collect()]
-        assert len(got) == len(set(got)) and set(got) == brute(rows)
+    got = [tuple(r) for r in batches.find_duplicates(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_probes_that_go_to_the_filters_and_large_classes_change_nothing(spark, monkeypatch):
+    for name, value in (("SENT_FILTERS", 0), ("BLOOM_KEYS", 300), ("GENERATIONS", 2), ("CLASS_PART", 5)):
+        monkeypatch.setattr(batches, name, value)
+    rows = make(7)
+    same = [(k, k % 4, bytes([7] * 32), (12345).to_bytes(32, "big")) for k in range(1000, 1040)]
+    assert {tuple(r) for r in batches.find_duplicates(spark.createDataFrame(rows + same, SCHEMA)).collect()} == brute(rows + same)
 
 
 def test_store_keeps_what_it_accepted(spark, tmp_path):
+    """Another session opens the store for each batch; an accept that did not come to its end leaves nothing."""
     rows = make(6)
-    store = batches.FingerprintStore(spark, str(tmp_path), partitions=4)
     found = set()
     for number in range(5):
-        batch = spark.createDataFrame([r for r in rows if r[1] == number], SCHEMA)
-        store = batches.FingerprintStore(spark, str(tmp_path), partitions=4)  # another session
-        found |= {(min(a, b), max(a, b)) for a, b in (tuple(r) for r in store.screen(batch).collect())}
+        own = [r for r in rows if r[1] == number]
+        batch = spark.createDataFrame(own, SCHEMA)
+        store = batches.FingerprintStore(spark, str(tmp_path))
+        for kind, new, old, _ in (tuple(r) for r in store.screen(batch).collect()):
+            value = {r[0]: r[2 + (kind == 0)] for r in rows}
+            found |= {(min(a[0], b[0]), max(a[0], b[0])) for a in own for b in rows if b[1] < number and a[2 + (kind == 0)] == value[new] and b[2 + (kind == 0)] == value[old]}
+        store._write("g99", batches.batch_classes(batch), 1)
+        if number == 3:
+            store.compact()
         store.accept(batch)
-    assert found == brute(rows)
+        with __import__("pytest").raises(OSError):
+            store._commit(store._state)
+    assert found == brute(rows) and len(store._state["generations"]) == 3
 
 
 def test_empty_and_unreadable(spark):
