@@ -1,25 +1,29 @@
 """Passages of held-out items in a corpus, by a generalised suffix automaton over words.
 
-The automaton of all items is built once; each document's words then run through it, keeping at every word the length of
-the longest item passage that ends there. The items are cut into groups of bounded size, one automaton each, so what a
-worker holds does not grow with the number of items; the corpus is read once for all groups and never shuffled.
+An automaton holds all items of a group; each document's words run through it, keeping at every word the length of the
+longest item passage that ends there. Items that are too many for one automaton are cut into groups of bounded size. The
+corpus is read once a group, never shuffled, and neither the driver nor a worker ever holds more than one group.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.words import words
+from heliograph.llm.words import words, words_in_place
+from heliograph.runtime import cut, small
 
 #: Consecutive words that make a leak.
 LEAST_WORDS = 13
-#: Words of one automaton at most, about; more items than that are spread over several automata.
-AUTOMATON_WORDS = 500_000
+#: Words of one automaton, about: some 150 MB. A longer item is a group by itself.
+AUTOMATON_WORDS = 200_000
+#: Share of a document's words that leaks may cover before it goes as a whole.
+MOST_COVERED = 0.5
 
 
 class SuffixAutomaton:
@@ -38,8 +42,10 @@ class SuffixAutomaton:
         held: list[set[int]] = [set() for _ in self.link]
         for state, owner in marks:
             held[state].add(owner)
+        # only states of at least `least` words need their owners, so no set grows towards the root
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            held[self.link[state]] |= held[state]
+            if self.length[self.link[state]] >= least:
+                held[self.link[state]] |= held[state]
         # of every state of at least `least` words: the owners of its suffix of just `least` words
         self.owners: list[frozenset[int] | None] = [None] * len(self.link)
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
@@ -101,63 +107,111 @@ class SuffixAutomaton:
         return out
 
 
-@lru_cache(maxsize=4)
-def _automaton(items: tuple[tuple[int, str], ...], least: int) -> SuffixAutomaton:
-    return SuffixAutomaton([(i, words(t)) for i, t in items], least)
+def _automaton(name: str, items: list[tuple[int, str]], least: int) -> SuffixAutomaton:
+    """The automaton of the group ``name``, built once a worker process; the one before it is given up."""
+    held = vars(pa).setdefault("_leak_automaton", {})  # functions are sent anew with each task, modules stay
+    if (name, least) not in held:
+        held.clear()
+        held[name, least] = SuffixAutomaton([(i, words(t)) for i, t in items], least)
+    return held[name, least]
 
 
-def _groups(items: list[tuple[int, str]]) -> list[tuple[tuple[int, str], ...]]:
-    groups, size = [[]], 0
-    for item in items:
-        n = item[1].count(" ") + 1
-        if size + n > AUTOMATON_WORDS and groups[-1]:
-            groups.append([])
-            size = 0
-        groups[-1].append(item)
-        size += n
-    return [tuple(g) for g in groups if g]
+def _spans(automaton: SuffixAutomaton, text: list[str]) -> dict[int, list]:
+    """owner: [longest, first and last word of each passage, alternately]; overlapping passages are one."""
+    best: dict[int, list] = {}
+    for end, length, owners in automaton.matches(text):
+        for owner in owners:
+            own = best.setdefault(owner, [0, []])
+            own[0] = max(own[0], length)
+            # the owner holds at least the last `least` words
+            first = end - automaton.least + 1
+            if own[1] and first <= own[1][-1] + 1:
+                own[1][-1] = end
+            else:
+                own[1] += [first, end]
+    return best
+
+
+_FOUND = "doc_id bigint, page bigint, item_id bigint, longest bigint, covered bigint, spans array<bigint>"
+
+
+def leak_spans(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, page, item_id, longest, covered, spans): where documents hold at least ``least`` consecutive words of items.
+
+    page: the hash of the document's text. longest: words of the longest shared passage. covered: the document's words that
+    lie in such passages. spans: numbers of the first and the last word of each, alternately. Null and empty texts, texts and
+    items shorter than ``least`` words, and null ids match nothing; repeated rows are reported as often as they occur.
+
+    Items are a stated query set against all documents, in blocks of ``AUTOMATON_WORDS``.
+    """
+    spark = documents.sparkSession
+    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("page"), "text")
+    usable = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint"), "text").distinct()
+    total = usable.agg(F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0))).first()[0]
+    groups = -(-total // AUTOMATON_WORDS)
+    found = []
+    for group in range(groups):
+        own = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group)
+        sent = spark.sparkContext.broadcast(sorted((r[0], r[1]) for r in own.toLocalIterator()))
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(name, sent.value, least)
+            for batch in batches:
+                rows = []
+                for doc_id, page, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    for item_id, (longest, spans) in _spans(automaton, words(text)).items():
+                        rows.append((doc_id, page, item_id, longest, sum(spans[1::2]) - sum(spans[::2]) + len(spans) // 2, spans))
+                types = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+                names = ["doc_id", "page", "item_id", "longest", "covered", "spans"]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+        held = texts.mapInArrow(scan, _FOUND)
+        found.append(held if groups == 1 else cut(held))
+        if groups > 1:
+            sent.destroy()
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _FOUND)
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, item_id, longest, covered): the documents that hold at least ``least`` consecutive words of an item's text.
 
-    longest: words of the longest shared passage. covered: the document's words that lie in such passages. Null and empty
-    texts, texts and items shorter than ``least`` words, and null ids match nothing; repeated rows are reported once.
+    As ``leak_spans``, once for each document and item; of different texts with one doc_id the most covered one counts.
+    """
+    spans = leak_spans(documents, items, least)
+    return spans.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"), F.max("covered").alias("covered"))
+
+
+def strip_leaks(documents: DataFrame, spans: DataFrame, least: int = LEAST_WORDS, most_covered: float = MOST_COVERED) -> DataFrame:
+    """``documents`` without the passages of ``leak_spans`` of at least ``least`` words, and without those mostly covered.
 
-    The items are held-out test material, which does not grow with the corpus: they are read to the driver in groups of
-    bounded size and each group is sent to the workers; the corpus is never sent anywhere.
+    Passages of all items count together, overlapping ones once. A passage goes with what lies between its words; a document
+    of whose words more than ``most_covered`` lie in passages goes as a whole. Other documents stay as they are, as do rows
+    with null ids or texts, and all other columns.
     """
-    spark = documents.sparkSession
-    held = sorted({(r[0], r[1]) for r in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").toLocalIterator()})
-    groups = [spark.sparkContext.broadcast(g) for g in _groups(held)]
+    each = spans.select("doc_id", "page", F.explode(F.transform(F.sequence(F.lit(0), F.size("spans") - 1, F.lit(2)), lambda k: F.struct(F.get("spans", k).alias("first"), F.get("spans", k + 1).alias("last")))).alias("s"))
+    marks = each.where(F.col("s.last") - F.col("s.first") + 1 >= least).groupBy(F.col("doc_id").alias("_d"), F.col("page").alias("_p")).agg(F.sort_array(F.collect_set("s")).alias("_marks"))
+    columns = documents.columns
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # built once a worker process and kept while it lives
-        automata = [_automaton(g.value, least) for g in groups]
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list[int]] = {"doc_id": [], "item_id": [], "longest": [], "covered": []}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = words(text)
-                if len(text) < least:
+            at = batch.schema.get_field_index("text")
+            texts, keep = batch.column(at).to_pylist(), []
+            for k, marks_ in enumerate(batch.column(len(columns)).to_pylist()):
+                placed, merged = words_in_place(texts[k]), []
+                for m in marks_:
+                    if merged and m["first"] <= merged[-1][1] + 1:
+                        merged[-1][1] = max(merged[-1][1], m["last"])
+                    else:
+                        merged.append([m["first"], m["last"]])
+                if sum(b - a + 1 for a, b in merged) > most_covered * len(placed):
                     continue
-                for automaton in automata:
-                    best: dict[int, list[int]] = {}
-                    for end, length, owners in automaton.matches(text):
-                        for owner in owners:
-                            b = best.setdefault(owner, [0, 0, -1])
-                            b[0] = max(b[0], length)
-                            b[1] += end - max(b[2], end - least)
-                            b[2] = end
-                    for owner, (longest, covered, _) in best.items():
-                        for name, value in zip(out, (doc_id, owner, longest, covered), strict=True):
-                            out[name].append(value)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
-
-    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    return texts.mapInArrow(scan, "doc_id bigint, item_id bigint, longest bigint, covered bigint").groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"), F.max("covered").alias("covered"))
-
-
-def strip_leaks(documents: DataFrame, leaks: DataFrame, most_covered: int = 50) -> DataFrame:
-    """``documents`` without those in which items cover more than ``most_covered`` words."""
-    bad = leaks.where(F.col("covered") > most_covered).select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti")
+                for a, b in reversed(merged):
+                    texts[k] = texts[k][: placed[a][1]] + texts[k][placed[b][2] :]
+                keep.append(k)
+            arrays = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(arrays, names=columns).take(pa.array(keep, pa.int64()))
+
+    joined = documents.join(small(cut(marks)), (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_p")), "left")
+    whole = joined.where("_marks IS NULL").select(*columns)
+    cleaned = joined.where("_marks IS NOT NULL").select(*columns, "_marks").mapInArrow(clean, documents.schema)
+    return whole.unionByName(cleaned)

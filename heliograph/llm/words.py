@@ -5,6 +5,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
+
+import regex
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿￹-￻]")
 _BLOCK = re.compile(r"<!--.*?-->|<(script|style)\b[^<>]*>.*?</\1\s*>", re.S | re.I)
@@ -14,6 +17,7 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<![A-Za-z][^<>]*>|<\?[^<>]*>")
 _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);?")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
+_CLUSTER, _ANY = regex.compile(r"\X"), re.compile(r"(?s).")
 
 
 def plain(text: str | None) -> str:
@@ -35,3 +39,34 @@ def words(text: str | None) -> list[str]:
     """Runs of letters and digits of a text, in lower case."""
     text = plain(text).lower()
     return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+
+
+def words_in_place(text: str | None) -> list[tuple[str, int, int]]:
+    """(word, start, end) of the words of ``words``, with their places in ``text`` itself."""
+    if not text:
+        return []
+    at = [(k, k + 1) for k in range(len(text))]
+
+    def sub(pattern, make: Callable[[str], str], text: str, at: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+        parts, places, last = [], [], 0
+        for m in pattern.finditer(text):
+            new = make(m.group())
+            parts += [text[last : m.start()], new]
+            places += at[last : m.start()] + [(at[m.start()][0], at[m.end() - 1][1])] * len(new)
+            last = m.end()
+        return "".join([*parts, text[last:]]), places + at[last:]
+
+    blank, none = (lambda _: " "), (lambda _: "")
+    if "<" in text:
+        for pattern, make in ((_BLOCK, blank), (_INLINE, none), (_TAG, blank)):
+            text, at = sub(pattern, make, text, at)
+    if "&" in text:
+        text, at = sub(_ENTITY, html.unescape, text, at)
+        if "<" in text:
+            for pattern, make in ((_INLINE, none), (_TAG, blank)):
+                text, at = sub(pattern, make, text, at)
+    if not text.isascii():
+        text, at = sub(_INVISIBLE, none, text, at)
+        text, at = sub(_CLUSTER, lambda x: unicodedata.normalize("NFKC", x), text, at)
+    text, at = sub(_ANY, str.lower, text, at)
+    return [(m.group(), at[m.start()][0], at[m.end() - 1][1]) for m in (_ASCII_WORD if text.isascii() else _WORD).finditer(text)]

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from heliograph.llm import leaks, packing, stuffing
-from heliograph.llm.words import words
+from heliograph.llm.words import words, words_in_place
 
 DOCS = "doc_id bigint, text string, item_id string"
 
@@ -18,6 +18,22 @@ def test_words():
     assert words(None) == [] and words("") == [] and words("<script>x y</script>z<!-- q -->") == ["z"]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "é", "e\u0301", "ﬁ", "İ", "ß", " ", "<p>", "</em>", "<em>", "&amp;", "&nbsp;", "&lt;b&gt;", "\u200b", "\u00ad", "3", ".", "-", "\u1100\u1161", "<!-- x -->", "½"]), max_size=25))
+def test_words_in_place(parts):
+    text = "".join(parts)
+    placed = words_in_place(text)
+    assert [w for w, _, _ in placed] == words(text)
+    assert all(0 <= a < b <= len(text) for _, a, b in placed) and all(x[1] <= y[1] and x[2] <= y[2] for x, y in zip(placed, placed[1:], strict=False))
+
+
+def test_strip_cuts_passages_of_several_items_once(spark):
+    docs = spark.createDataFrame([(1, "a b <b>c</b> d&amp;e f g h", 5), (2, "a b c d", 6), (3, None, 7)], "doc_id bigint, text string, spans int")
+    spans = leaks.leak_spans(docs, spark.createDataFrame([(1, "b c d"), (2, "c d e"), (3, "a b c d")], "item_id bigint, text string"), 3)
+    assert sorted((r["doc_id"], r["item_id"], r["spans"], r["covered"]) for r in spans.collect()) == [(1, 1, [1, 3], 3), (1, 2, [2, 4], 3), (1, 3, [0, 3], 4), (2, 1, [1, 3], 3), (2, 3, [0, 3], 4)]
+    assert sorted(map(tuple, leaks.strip_leaks(docs, spans, 3, 0.7).collect())) == [(1, " f g h", 5), (3, None, 7)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=30), st.integers(1, 5))
 def test_automaton(items, text, least):
@@ -46,11 +62,12 @@ def test_leaks(spark, monkeypatch):
     df = spark.createDataFrame([(a, b, "clash") for a, b in docs], DOCS)
     expected = [(1, 3), (3, 0), (3, 50), (6, 3), (7, 3)]
     assert sorted((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()) == expected
-    monkeypatch.setattr(leaks, "AUTOMATON_WORDS", 70)
-    assert len(leaks._groups([i for i in items if i[1]])) > 3
-    found = leaks.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string"))
-    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == expected
-    assert sorted(r["doc_id"] or 0 for r in leaks.strip_leaks(df, found, 20).collect()) == [0, 1, 1, 2, 3, 4, 5]
+    monkeypatch.setattr(leaks, "AUTOMATON_WORDS", 150)  # several groups, read one after the other
+    items = spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, items).collect()) == expected
+    left = sorted((r["doc_id"] or 0, r["text"], r["item_id"]) for r in leaks.strip_leaks(df, leaks.leak_spans(df, items), most_covered=0.9).where("text IS NOT NULL").collect())
+    texts = {k: t for k, t in docs}
+    assert left == [(0, texts[None], "clash"), *[(1, "pre  post", "clash")] * 2, (2, texts[2], "clash"), (5, "", "clash"), (7, "z " * 300_000, "clash")]
     none = spark.createDataFrame([], DOCS)
     assert leaks.find_leaks(none, none.selectExpr("doc_id AS item_id", "text")).count() == 0
 
