@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -59,6 +60,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
 
+def release(spark: SparkSession) -> None:
+    """Let the session's cleaner delete the shuffles and checkpoints of rounds that are over.
+
+    It learns of them when the driver's garbage is collected, which many small rounds on a large driver may never cause.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def seen_by(observation: Observation) -> dict[str, int]:
     """What an observation saw; nothing where the plan was found to be empty before it ran."""
     return observation.get if observation._jo.getRow().length() else {}
