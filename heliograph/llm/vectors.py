@@ -1,11 +1,14 @@
 """Most similar vectors by a block matrix join.
 
-Vectors are normalised and dealt into groups of bounded size; each pair of groups is one task. A task sorts its vectors by
-their nearest pivot, cuts them into blocks, and goes through the tiles, the pairs of blocks. A tile is skipped when the
-blocks' centres and radii prove that no pair in it reaches the least similarity. Otherwise the product of the blocks' int8
-codes gives all its similarities within a bound on the quantisation error; only pairs that the bound cannot rule out, against
-the least similarity and against the best found so far, are computed again in float. Each vector keeps a heap of its k best
-in the task, and the heaps of the tasks are merged. The result is exact.
+Vectors are normalised, placed at their nearest pivot and dealt into groups of bounded size, pivot by pivot; each pair of
+groups is one task. A vector is sent only to groups that hold a pivot's cell within reach of its own, by the cells' radii and
+the least similarity. A task sorts its vectors by pivot, cuts them into blocks, and goes through the tiles, the pairs of
+blocks. A tile is skipped when the blocks' centres and radii prove that no pair in it reaches the least similarity. Otherwise
+the vectors' int8 codes, which have one scale a block, are multiplied. The products are whole numbers below 2^24, so float32
+holds them exactly and a fast matrix product may be used; with the quantisation error's bound they give a bound on each
+similarity. Only pairs that the bound cannot rule out, against the least similarity and against the best found so far, are
+computed again from the floats. Each vector keeps a heap of its k best in the task, and the heaps of the tasks are merged.
+The result is exact.
 
 The number of tiles grows with the square of the number of distinct vectors, as any exact join without a usable index does;
 the codes, blocks and bounds only make each tile cheap.
@@ -13,7 +16,9 @@ the codes, blocks and bounds only make each tile cheap.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,24 +73,65 @@ def units(vectors: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     return good.mapInArrow(scale, "id bigint, u binary")
 
 
-def nearest_pivot(rows: DataFrame, seed: int = 0, pivots: int = PIVOTS, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``rows`` with the number of the pivot nearest to each ``u``; the pivots are the ``pivots`` rows of smallest hash."""
+def pivots_of(rows: DataFrame, seed: int = 0, pivots: int = PIVOTS, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """The vectors of the ``pivots`` rows of smallest hash."""
     picked = rows.select("u", F.xxhash64("id", F.lit(seed)).alias("h"), "id").orderBy("h", "id").limit(pivots).select("u").toArrow()
+    return np.array(floats(picked.column("u"), dimensions))
+
+
+def nearest_pivot(rows: DataFrame, centres: np.ndarray, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``rows`` (with u) plus the number of the nearest of the ``centres``, the distance from it and the vector's length."""
     columns = rows.columns
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", pivot int"
-    if not picked.num_rows:
-        return rows.withColumn("pivot", F.lit(0))
-    centres = rows.sparkSession.sparkContext.broadcast(floats(picked.column("u"), dimensions))
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", pivot int, far double, norm double"
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        squares = np.einsum("ij,ij->i", own, own)
         for batch in batches:
             if batch.num_rows:
-                near = np.argmax(floats(batch.column(columns.index("u")), dimensions) @ centres.value.T, axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], names=[*columns, "pivot"])
+                u = floats(batch.column(columns.index("u")), dimensions)
+                near = np.argmin(squares - 2 * (u @ own.T), axis=1)
+                far = np.linalg.norm(u.astype(np.float64) - own[near], axis=1)
+                added = [pa.array(near, pa.int32()), pa.array(far), pa.array(np.linalg.norm(u.astype(np.float64), axis=1))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*columns, "pivot", "far", "norm"])
 
     return rows.mapInArrow(place, schema)
 
 
+def _targets(cells: list[tuple[int, int, float, float]], centres: np.ndarray, groups: int, least: float) -> list[tuple[int, int, int, int, int]]:
+    """(pivot, part, parts, group, other group): where the rows of each part of a pivot's cell go.
+
+    ``cells``: pivot, rows, radius, longest vector. Cells that are close come together in a group; large cells are dealt into
+    parts. A part goes to its own group and to each other one that holds a cell within its reach.
+    """
+    left, order = {c[0]: c for c in cells}, [cells[0][0]]
+    while len(order) < len(left):
+        rest = [p for p in left if p not in set(order)]
+        order.append(rest[int(np.argmin(np.linalg.norm(centres[rest] - centres[order[-1]], axis=1)))])
+    size = max(1.0, sum(c[1] for c in cells) / groups)
+    slots, placed, before = [], [], 0.0
+    for p in order:
+        parts = max(1, math.ceil(left[p][1] / size))
+        for part in range(parts):
+            share = left[p][1] / parts
+            g = min(groups - 1, int((before + share / 2) / size))
+            before += share
+            slots.append((p, part, parts, g))
+    for g in range(groups):
+        placed.append(sorted({p for p, _, _, own in slots if own == g}))
+    out = []
+    for p, part, parts, g in slots:
+        for h in range(groups):
+            if placed[h]:
+                radius, norm = np.array([left[q][2] for q in placed[h]]), np.array([left[q][3] for q in placed[h]])
+                gap = np.maximum(0.0, np.linalg.norm(centres[placed[h]].astype(np.float64) - centres[p], axis=1) - radius - left[p][2])
+                # x.y <= (|x|^2 + |y|^2 - d^2) / 2 with d at least the distance of the cells
+                if ((norm**2 + left[p][3] ** 2 - gap**2) / 2 >= least - 1e-6).any():
+                    out.append((p, part, parts, g, h))
+    return out
+
+
 class _Heaps:
     """The k best partners of each of n vectors: (value descending, id ascending), and the value a newcomer must reach."""
 
@@ -118,50 +164,52 @@ class _Heaps:
 
 
 class _Side:
-    """One side of a task: vectors in blocks, with int8 codes, error bounds, centres and radii."""
+    """One side of a task: vectors in blocks, with int8 codes of one scale a block, error bounds, centres and radii."""
 
     def __init__(self, ids: np.ndarray, u: np.ndarray, pivot: np.ndarray) -> None:
         order = np.lexsort((ids, pivot))
         self.ids, self.u = ids[order], u[order]
-        scale = np.maximum(np.abs(self.u).max(axis=1, keepdims=True), 1e-30) / 127
-        self.codes = np.rint(self.u / scale).astype(np.int8)
-        self.scale = scale.astype(np.float32)
-        self.error = np.linalg.norm(self.u - self.codes * self.scale, axis=1)
-        self.norm = np.linalg.norm(self.u, axis=1)
         self.blocks = [slice(s, min(len(ids), s + BLOCK)) for s in range(0, len(ids), BLOCK)]
-        self.centres = np.array([self.u[b].mean(axis=0) for b in self.blocks]).reshape(len(self.blocks), -1)
-        self.radii = [float(np.linalg.norm(self.u[b] - c, axis=1).max()) for b, c in zip(self.blocks, self.centres, strict=True)]
-
-
-def _tiles(a: _Side, b: _Side, same: bool, least: float, k: int) -> tuple[_Heaps, _Heaps]:
+        self.scales = [max(float(np.abs(self.u[b]).max()), 1e-30) / 127 for b in self.blocks]
+        self.codes = np.empty(self.u.shape, np.int8)
+        self.errors, self.norms, self.centres, self.radii = [], [], [], []
+        for b, scale in zip(self.blocks, self.scales, strict=True):
+            self.codes[b] = np.rint(self.u[b] / scale)
+            self.errors.append(float(np.linalg.norm(self.u[b] - self.codes[b] * np.float32(scale), axis=1).max()))
+            self.norms.append(float(np.linalg.norm(self.u[b], axis=1).max()))
+            self.centres.append(self.u[b].mean(axis=0))
+            self.radii.append(float(np.linalg.norm(self.u[b] - self.centres[-1], axis=1).max()))
+
+
+def _tiles(a: _Side, b: _Side, same: bool, least: float, k: int, digits: int) -> tuple[_Heaps, _Heaps]:
     left = _Heaps(len(a.ids), k, least)
     right = left if same else _Heaps(len(b.ids), k, least)
     for i, rows in enumerate(a.blocks):
-        codes = a.codes[rows].astype(np.float32) * a.scale[rows]
+        codes = a.codes[rows].astype(np.float32)
         for j, columns in enumerate(b.blocks):
             if same and j < i:
                 continue
-            # x.y <= (|x|^2 + |y|^2 - d^2) / 2 with d at least the distance of the balls
             gap = max(0.0, float(np.linalg.norm(a.centres[i] - b.centres[j])) - a.radii[i] - b.radii[j])
-            if (a.norm[rows].max() ** 2 + b.norm[columns].max() ** 2 - gap * gap) / 2 < least:
+            if (a.norms[i] ** 2 + b.norms[j] ** 2 - gap * gap) / 2 < least - 1e-6:
                 continue
-            about = codes @ (b.codes[columns].astype(np.float32) * b.scale[columns]).T
-            slack = float(a.error[rows].max() * b.norm[columns].max() + b.error[columns].max() * (a.norm[rows].max() + a.error[rows].max())) + 2e-6
-            x, y = np.nonzero(about >= least - slack)
+            product = codes @ b.codes[columns].astype(np.float32).T  # whole numbers, exact
+            slack = a.errors[i] * b.norms[j] + b.errors[j] * (a.norms[i] + a.errors[i]) + 2e-6
+            scale = a.scales[i] * b.scales[j]
+            x, y = np.nonzero(product >= math.floor((least - slack) / scale))
             if same and i == j:
                 x, y = x[x < y], y[x < y]
             if not len(x):
                 continue
-            sure = about[x, y] + slack
+            sure = product[x, y] * scale + slack
             x, y = x + rows.start, y + columns.start
             open_ = (sure >= left.floor[x]) | (sure >= right.floor[y])
             x, y = x[open_], y[open_]
-            if len(x) > DENSE * about.size:
+            if len(x) > DENSE * product.size:
                 whole = a.u[rows].astype(np.float64) @ b.u[columns].astype(np.float64).T
                 value = whole[x - rows.start, y - columns.start]
             else:
                 value = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", a.u[x[s : s + 65536]], b.u[y[s : s + 65536]], dtype=np.float64) for s in range(0, len(x), 65536))])
-            value = np.round(value, 6)
+            value = np.round(value, digits)
             good = value >= least
             x, y, value = x[good], y[good], value[good]
             left.push(x, value, b.ids[y])
@@ -174,25 +222,29 @@ def _groups(n: int, group: int) -> int:
     return max(-(-n // group), min(2, -(-n // (4 * BLOCK))), 1)
 
 
-def similar_pairs(rows: DataFrame, least: float, k: int, dimensions: int = DIMENSIONS, group: int = GROUP) -> DataFrame:
+def similar_pairs(rows: DataFrame, least: float, k: int, dimensions: int = DIMENSIONS, group: int = GROUP, digits: int = 6) -> DataFrame:
     """(kind, id, partner, value): for each vector its ``k`` largest products of at least ``least`` with others of its kind.
 
-    ``rows``: kind, id, u (float32 bytes, not necessarily of length 1), ids unique within a kind. Values are rounded to six
-    decimals and ties go to the smaller partner.
+    ``rows``: kind, id, u (float32 bytes, of any length), ids unique within a kind. Values are rounded to ``digits`` decimals
+    and ties go to the smaller partner. An empty table gives an empty result.
     """
+    spark = rows.sparkSession
     counts = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # as many as kinds
-    parts = []
+    parts, tasks = [], 0
     for kind, n in counts.items():
+        own = rows.where(F.col("kind") == kind).drop("kind")
+        centres = pivots_of(own, pivots=PIVOTS, dimensions=dimensions)
+        own = nearest_pivot(own, centres, dimensions)
+        cells = own.groupBy("pivot").agg(F.count("*"), F.max("far"), F.max("norm")).orderBy("pivot").collect()  # at most one a pivot
         groups = _groups(n, group)
-        own = nearest_pivot(rows.where(F.col("kind") == kind).drop("kind"), pivots=PIVOTS, dimensions=dimensions)
-        g = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-        parts.append(own.select(F.lit(kind).alias("kind"), "id", "u", "pivot", g.alias("g"), other.alias("h")))
+        targets = _targets([tuple(c) for c in cells], centres, groups, least)
+        tasks += len({(min(g, h), max(g, h)) for *_, g, h in targets})
+        sent = small(spark.createDataFrame(targets, "pivot int, part int, parts int, g int, h int"), 500_000)
+        dealt = own.join(sent, "pivot").where(F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")) == F.col("part"))
+        parts.append(dealt.select(F.lit(kind).alias("kind"), "id", "u", "pivot", "g", "h"))
     if not parts:
-        return rows.sparkSession.createDataFrame([], "kind string, id bigint, partner bigint, value double")
-    copies = parts[0]
-    for p in parts[1:]:
-        copies = copies.unionByName(p)
+        return spark.createDataFrame([], "kind string, id bigint, partner bigint, value double")
+    copies = reduce(DataFrame.unionByName, parts)
 
     def task(table: pa.Table) -> pa.Table:
         kind, lo, hi = table.column("kind")[0], table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
@@ -206,13 +258,12 @@ def similar_pairs(rows: DataFrame, least: float, k: int, dimensions: int = DIMEN
 
         a = side(lo)
         b = a if lo == hi else side(hi)
-        out = [(s.ids[at], partner, value) for s, (at, value, partner) in zip((a, b), (h.prune() for h in _tiles(a, b, a is b, least, k)), strict=True)][: 1 if a is b else 2]
+        out = [(s.ids[at], partner, value) for s, (at, value, partner) in zip((a, b), (h.prune() for h in _tiles(a, b, a is b, least, k, digits)), strict=True)][: 1 if a is b else 2]
         ids, partners, values = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"kind": pa.array([kind.as_py()] * len(ids), pa.string()), "id": ids, "partner": partners, "value": values})
 
     keyed = copies.select("kind", "id", "u", "pivot", "g", F.least("g", "h").alias("lo"), F.greatest("g", "h").alias("hi"))
     # one task a shuffle partition, since each is heavy
-    tasks = sum(_groups(n, group) * (_groups(n, group) + 1) // 2 for n in counts.values())
     found = keyed.repartition(max(2 * tasks, 8), "kind", "lo", "hi").groupBy("kind", "lo", "hi").applyInArrow(task, "kind string, id bigint, partner bigint, value double")
     best = W.partitionBy("kind", "id").orderBy(F.desc("value"), "partner")
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
