@@ -84,6 +84,26 @@ def test_estimate_finds_undeclared_zone(spark):
     assert len(found) == 62
 
 
+def test_all_zones_are_tried_from_both_sides(spark):
+    """A source beside one that declares Berlin: stated offsets of Nepal; wall clocks minutes before their ingestion; noise."""
+    hour = 3_600_000_000
+    sources = spark.createDataFrame([("/nepal", None), ("/berlin", "Europe/Berlin"), ("/late", None), ("/noise", None), ("/wrong", "Asia/Tokyo"), ("/none", None)], "root_dir string, time_zone string")
+    walls = [us("2021-01-01T00:00:00+00:00") + k * 40 * hour for k in range(400)]
+    rows = [("/nepal", w, 345 * 60_000_000, None) for w in walls] + [("/berlin", walls[0], hour, None)]
+    # the floors of New York, in summer and winter time, a little below its offsets
+    for w in walls:
+        off = datetime.fromtimestamp(w / 1e6, UTC).replace(tzinfo=None).replace(tzinfo=ZoneInfo("America/New_York")).utcoffset()
+        rows += [("/late", w, None, int(off.total_seconds() * 1e6) - 600_000_000)]
+    rows += [("/noise", w, (k * 37 % 1400 - 700) * 60_000_000 + 60_000_000 * 7, None) for k, w in enumerate(walls)]
+    rows += [("/wrong", w, hour * 5 + hour // 2, None) for w in walls]
+    got = {r["root_dir"]: r for r in T.estimate_zones(spark.createDataFrame(rows, "root_dir string, wall_us bigint, offset_us bigint, floor_us bigint"), sources).collect()}
+    assert got["/nepal"]["time_zone"] in ("Asia/Kathmandu", "Asia/Katmandu") and got["/nepal"]["violations"] == 0
+    assert got["/berlin"]["time_zone"] == "Europe/Berlin" and got["/wrong"]["time_zone"] in ("Asia/Calcutta", "Asia/Colombo", "Asia/Kolkata")
+    offsets = {ZoneInfo(got["/late"]["time_zone"]).utcoffset(datetime(2021, m, 10)) for m in (1, 7)}
+    assert offsets == {timedelta(hours=-5), timedelta(hours=-4)} and got["/late"]["violations"] == 0
+    assert got["/noise"]["time_zone"] is None and got["/noise"]["violations"] > 200 and got["/none"]["time_zone"] is None and got["/none"]["estimated"] is None
+
+
 def test_empty(spark):
     photos = spark.createDataFrame([], SCHEMA)
     sources = spark.createDataFrame([], "root_dir string, time_zone string")
