@@ -3,7 +3,10 @@
 import math
 import random
 
+import pytest
+
 from heliograph.functions.geo import EARTH_RADIUS_M
+from heliograph.operators import spatial
 from heliograph.operators.spatial import points_in_regions
 
 REGION = "region_id bigint, shape string, latitude double, longitude double, radius_m double, ring_lat array<double>, ring_lon array<double>"
@@ -49,3 +52,28 @@ def test_empty(spark):
     places = spark.createDataFrame([], REGION)
     some = spark.createDataFrame([(1, 0.5, 0.5)], "point_id bigint, latitude double, longitude double")
     assert points_in_regions(points, places).count() == 0 and points_in_regions(some, places).count() == 0
+
+
+def distance(a, b):
+    p, q = math.radians(a[1]), math.radians(b[1])
+    h = math.sin((p - q) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(a[2] - b[2]) / 2) ** 2
+    return 2 * spatial.EARTH_RADIUS_M * math.asin(math.sqrt(min(1.0, h)))
+
+
+@pytest.mark.parametrize(("metres", "per_task"), [(30_000.0, 10_000), (30_000.0, 7), (2_000_000.0, 40)])
+def test_near_pairs(spark, metres, per_task):
+    """Against all pairs: around the date line, the poles, an equator and one crowded place."""
+    rng = random.Random(int(metres) + per_task)
+    centres = [(0.0, 179.99), (89.95, 10.0), (-89.9, -100.0), (47.0, 8.0), (47.01, 8.01)]
+    rows = []
+    for k in range(160):
+        la, lo = rng.choice(centres)
+        rows.append((k, max(-90.0, min(90.0, la + rng.uniform(-0.3, 0.3))), lo + rng.uniform(-0.4, 0.4), "clash"))
+    rows += [(200 + k, 47.0, 8.0, "clash") for k in range(80)] + [(300, 47.0, 8.0, "x"), (301, None, 1.0, "x"), (302, 91.0, 1.0, "x"), (None, 47.0, 8.0, "x")]
+    places, members = spatial.positions(spark.createDataFrame(rows + rows[:9], "point_id bigint, latitude double, longitude double, lat string"))
+    assert sorted(r[0] for r in members.where("position_id = 200").collect()) == [*range(200, 280), 300]
+    held = [tuple(r) for r in places.collect()]
+    expected = {(min(a[0], b[0]), max(a[0], b[0])) for i, a in enumerate(held) for b in held[:i] if distance(a, b) <= metres}
+    got = [(r[0], r[1]) for r in spatial.near_pairs(places, metres, per_task).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 50
+    assert spatial.near_pairs(places.limit(0), metres).count() == 0
