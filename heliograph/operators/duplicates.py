@@ -190,19 +190,15 @@ def box_leaders(boxes: DataFrame, threshold: float, key: str = "photo_id") -> Da
     """Non-maximum suppression per image: by confidence, keep a box unless its overlap with a kept one exceeds ``threshold``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["confidence", "id"], ascending=[False, True], na_position="last").reset_index(drop=True)
-        kept: list[int] = []
-        for i, r in rows.iterrows():
-            for k in kept:
-                o = rows.loc[k]
-                w = min(r.bbox_x + r.bbox_w, o.bbox_x + o.bbox_w) - max(r.bbox_x, o.bbox_x)
-                h = min(r.bbox_y + r.bbox_h, o.bbox_y + o.bbox_h) - max(r.bbox_y, o.bbox_y)
-                both = max(0, w) * max(0, h)
-                union = r.bbox_w * r.bbox_h + o.bbox_w * o.bbox_h - both
-                if union > 0 and both / union > threshold:
-                    break
-            else:
+        rows = pdf.sort_values(["confidence", "id"], ascending=[False, True], na_position="last")
+        x, y, w, h = (rows[f"bbox_{c}"].to_numpy(np.float64) for c in "xywh")
+        open_, kept = np.ones(len(rows), bool), []
+        for i in range(len(rows)):
+            if open_[i]:
                 kept.append(i)
-        return rows.loc[kept, ["photo_id", "id"]]
+                both = np.maximum(0, np.minimum(x[i] + w[i], x + w) - np.maximum(x[i], x)) * np.maximum(0, np.minimum(y[i] + h[i], y + h) - np.maximum(y[i], y))
+                union = w[i] * h[i] + w * h - both
+                open_ &= ~((union > 0) & (both > threshold * union))
+        return rows.iloc[kept][[key, "id"]]
 
-    return boxes.groupBy(key).applyInPandas(run, "photo_id bigint, id bigint")
+    return boxes.groupBy(key).applyInPandas(run, f"{key} bigint, id bigint")

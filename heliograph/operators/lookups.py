@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions import exprs as X
@@ -47,13 +47,18 @@ def rotations(photos: DataFrame) -> DataFrame:
 
 def marked(photos: DataFrame, trashed_too: bool = True) -> DataFrame:
     rows = photos.where("marked_for_deletion")
-    return (rows if trashed_too else rows.where("trashed_at IS NULL")).select(*RECORD)
+    return (rows if trashed_too else rows.where("trashed_at IS NULL")).select(*RECORD).orderBy("path", "id")
 
 
 def trashed(photos: DataFrame, before: str | None = None) -> DataFrame:
-    """Photos in the trash; with ``before``, those whose text time sorts before it."""
-    rows = photos.where("trashed_at IS NOT NULL")
-    return (rows.where(F.col("trashed_at") < before) if before else rows).select("id", "path", "original_path", "size_bytes", "trashed_at")
+    """Photos in the trash, last one first; with ``before``, those whose text time sorts before it, first one first."""
+    rows = photos.where("trashed_at IS NOT NULL").select("id", "path", "original_path", "size_bytes", "trashed_at")
+    return rows.where(F.col("trashed_at") < before).orderBy("trashed_at", "id") if before else rows.orderBy(F.desc("trashed_at"), "id")
+
+
+def trash_cutoff(now: Column, days: int) -> Column:
+    """The text time, RFC 3339 in UTC, that lies ``days`` before the timestamp ``now``."""
+    return F.date_format(now - F.expr(f"make_interval(0, 0, 0, {days})"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
 def undescribed(photos: DataFrame, directory: str | None = None, rule: str = "all", limit: int | None = None) -> DataFrame:
@@ -63,12 +68,13 @@ def undescribed(photos: DataFrame, directory: str | None = None, rule: str = "al
         rows = rows.where(F.col("path").startswith(directory))
     elif rule == "exact":
         rows = rows.where(F.col("directory") == directory)
-    rows = rows.select("id", "path")
-    return rows if limit is None else rows.orderBy("id").limit(limit)
+    order = {"all": [F.desc_nulls_last("scanned_at"), F.col("id")], "prefix": [F.col("path"), F.col("id")], "exact": [F.col("id")]}[rule]
+    rows = rows.orderBy(*order)
+    return (rows if limit is None else rows.limit(limit)).select("id", "path")
 
 
 def with_empty_tags(photos: DataFrame) -> DataFrame:
-    return photos.where("llm_processed_at IS NOT NULL AND (tags IS NULL OR tags IN ('[]', ''))").select("id", "path")
+    return photos.where("llm_processed_at IS NOT NULL AND (tags IS NULL OR tags IN ('[]', ''))").orderBy("llm_processed_at", "id").select("id", "path")
 
 
 def first(df: DataFrame, condition: str, limit: int, order: list, columns: list[str]) -> DataFrame:
@@ -85,7 +91,7 @@ def suggest_tags(tags: DataFrame, text: str) -> DataFrame:
 
 
 def pending(tasks: DataFrame) -> DataFrame:
-    return tasks.where("status = 'pending'")
+    return tasks.where("status = 'pending'").orderBy(F.asc_nulls_first("scheduled_at"), "id")
 
 
 def overdue(tasks: DataFrame, now: str) -> DataFrame:
@@ -103,4 +109,4 @@ def runnable(tasks: DataFrame, now: str, hour: int) -> DataFrame:
 
 
 def export_rows(photos: DataFrame) -> DataFrame:
-    return photos.select(*(X.basename(F.col("path")).alias("filename") if c == "filename" else F.col(c) for c in EXPORT))
+    return photos.select(*(X.basename(F.col("path")).alias("filename") if c == "filename" else F.col(c) for c in EXPORT)).orderBy("path")

@@ -12,13 +12,13 @@ FACE = ["id", "photo_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "person_id", "
 
 def faces_with_photos(faces: DataFrame, photos: DataFrame, condition: Column) -> DataFrame:
     seen = photos.select(F.col("id").alias("photo_id"), "path", "filename", "taken_at")
-    return faces.where(condition).select(*FACE).join(seen, "photo_id").select(*FACE, "path", "filename", "taken_at")
+    return faces.where(condition).select(*FACE).join(seen, "photo_id").select(*FACE, "path", "filename", "taken_at").orderBy(F.desc_nulls_last("taken_at"), "id")
 
 
 def photos_of_person(photos: DataFrame, faces: DataFrame, person: int) -> DataFrame:
     """A semi-join: as the join's distinct rows, but without producing the repeats."""
     own = faces.where(F.col("person_id") == person).select(F.col("photo_id").alias("id"))
-    return photos.join(own, "id", "left_semi").select("id", "path", "filename")
+    return photos.join(own, "id", "left_semi").orderBy(F.desc_nulls_last("taken_at"), "id").select("id", "path", "filename")
 
 
 def without(photos: DataFrame, other: DataFrame, key: str = "photo_id", directory: str | None = None, exact: bool = False) -> DataFrame:
@@ -36,7 +36,7 @@ def tags_of_photo(tags: DataFrame, bridge: DataFrame, photo: int) -> DataFrame:
 
 def album_paths(photos: DataFrame, bridge: DataFrame, album: int) -> DataFrame:
     own = bridge.where(F.col("album_id") == album).select(F.col("photo_id").alias("id"), "position", "added_at")
-    return photos.select("id", "path").join(own, "id").select("path", "position", "added_at")
+    return photos.select("id", "path").join(own, "id").select("path", "position", "added_at").orderBy("position", "added_at", "path")
 
 
 def people_with_counts(people: DataFrame, faces: DataFrame, person: int | None = None, name: str | None = None) -> DataFrame:
@@ -47,12 +47,12 @@ def people_with_counts(people: DataFrame, faces: DataFrame, person: int | None =
     if name is not None:
         rows = rows.where(F.lower("name") == name.lower())
     counts = found.groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("face_count"))
-    return rows.select("id", "name").join(counts, "id", "left").withColumn("face_count", F.coalesce("face_count", F.lit(0)))
+    return rows.select("id", "name").join(counts, "id", "left").withColumn("face_count", F.coalesce("face_count", F.lit(0))).orderBy("name", "id")
 
 
 def with_member_counts(groups: DataFrame, members: DataFrame, key: str, columns: list[str], out: str) -> DataFrame:
     counts = members.groupBy(F.col(key).alias("id")).agg(F.count("*").alias(out))
-    return groups.select(*columns).join(counts, "id", "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    return groups.select(*columns).join(counts, "id", "left").withColumn(out, F.coalesce(out, F.lit(0))).orderBy(F.desc(out), "id")
 
 
 def count(df: DataFrame, condition: str | Column | None = None, out: str = "n") -> DataFrame:

@@ -75,6 +75,10 @@ class Tables:
     def min_path(self) -> str:
         return self.photos.agg(F.min("path")).first()[0]
 
+    def least(self, name: str, column: str):
+        """The smallest value of a table's column, as a key that occurs."""
+        return getattr(self, name).agg(F.min(column)).first()[0]
+
 
 
 def _consecutive(t: Tables, value) -> DataFrame:
@@ -148,15 +152,15 @@ _add("c13_undescribed", lambda t: lookups.undescribed(t.photos), "SELECT id, pat
 _add("c14_undescribed_prefix", lambda t: lookups.undescribed(t.photos, "/vault/har", "prefix"), "SELECT id, path FROM photos WHERE description IS NULL AND starts_with(path, '/vault/har')")
 _add("c15_undescribed_exact", lambda t: lookups.undescribed(t.photos, CAMERA_ROLL, "exact", 50), f"SELECT id, path FROM photos WHERE description IS NULL AND directory = '{CAMERA_ROLL}' ORDER BY id LIMIT 50")
 _add("c16_empty_tags", lambda t: lookups.with_empty_tags(t.photos), "SELECT id, path FROM photos WHERE llm_processed_at IS NOT NULL AND (tags IS NULL OR tags IN ('[]', ''))")
-_add("c17_faces_of_photo", lambda t: t.faces.where("photo_id = 5").select(*relations.FACE), f"SELECT {FACE} FROM faces WHERE photo_id = 5")
+_add("c17_faces_of_photo", lambda t: t.faces.where(F.col("photo_id") == t.least("faces", "photo_id")).select(*relations.FACE), f"SELECT {FACE} FROM faces WHERE photo_id = (SELECT min(photo_id) FROM faces)")
 _add("c18_faces_without_vectors", lambda t: lookups.first(t.faces, "embedding IS NULL", 100, ["id"], ["id", "photo_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h"]), "SELECT id, photo_id, bbox_x, bbox_y, bbox_w, bbox_h FROM faces WHERE embedding IS NULL ORDER BY id LIMIT 100")
 _add("c19_face_vectors", lambda t: t.faces.where("embedding IS NOT NULL").select("id", F.size("embedding").alias("n")), "SELECT id, CAST(len(embedding) AS INT) AS n FROM faces WHERE embedding IS NOT NULL")
-_add("c20_vector", lambda t: t.photo_embeddings.where("photo_id = 3").select("photo_id", "embedding_dim", "model_name"), "SELECT photo_id, embedding_dim, model_name FROM photo_embeddings WHERE photo_id = 3")
+_add("c20_vector", lambda t: t.photo_embeddings.where(F.col("photo_id") == t.least("photo_embeddings", "photo_id")).select("photo_id", "embedding_dim", "model_name"), "SELECT photo_id, embedding_dim, model_name FROM photo_embeddings WHERE photo_id = (SELECT min(photo_id) FROM photo_embeddings)")
 _add("c21_vectors", lambda t: t.photo_embeddings.select("photo_id", F.size("embedding").alias("n"), "model_name"), "SELECT photo_id, CAST(len(embedding) AS INT) AS n, model_name FROM photo_embeddings")
 _add("c22_photos_with_tag", lambda t: t.photo_user_tags.where("tag_id = 2").select("photo_id"), "SELECT photo_id FROM photo_user_tags WHERE tag_id = 2")
 _add("c23_tags", lambda t: t.user_tags.select("id", "name", "color").orderBy("name", "id"), "SELECT id, name, color FROM user_tags")
 _add("c24_search_tags", lambda t: lookups.search_tags(t.user_tags, "A"), "SELECT id, name, color FROM user_tags WHERE starts_with(lower(name), 'a') ORDER BY name, id LIMIT 10")
-_add("c25_album_photos", lambda t: t.album_photos.where("album_id = 4").select("photo_id", "position"), "SELECT photo_id, position FROM album_photos WHERE album_id = 4")
+_add("c25_album_photos", lambda t: t.album_photos.where("album_id = 4").orderBy("position", "added_at", "photo_id").select("photo_id", "position"), "SELECT photo_id, position FROM album_photos WHERE album_id = 4")
 _add("c26_pending", lambda t: lookups.pending(t.scheduled_tasks).select("id", "task_type", "scheduled_at"), "SELECT id, task_type, scheduled_at FROM scheduled_tasks WHERE status = 'pending'")
 _add("c27_overdue", lambda t: lookups.overdue(t.scheduled_tasks, NOW).select("id", "scheduled_at"), f"SELECT id, scheduled_at FROM scheduled_tasks WHERE status = 'pending' AND scheduled_at < '{NOW}'")
 _add("c28_newest_tasks", lambda t: lookups.first(t.scheduled_tasks, "true", 100, [F.desc("scheduled_at"), "id"], ["id", "scheduled_at", "status"]), "SELECT id, scheduled_at, status FROM scheduled_tasks ORDER BY scheduled_at DESC, id LIMIT 100")
@@ -174,9 +178,9 @@ _add("d5_unscanned_count", lambda t: relations.count(relations.without(t.photos,
 _add("d6_without_vectors", lambda t: relations.without(t.photos, t.photo_embeddings), "SELECT id, path FROM photos WHERE id NOT IN (SELECT photo_id FROM photo_embeddings)")
 _add("d7_without_vectors_below", lambda t: relations.without(t.photos, t.photo_embeddings, directory=DIRECTORY), f"SELECT id, path FROM photos WHERE id NOT IN (SELECT photo_id FROM photo_embeddings) AND starts_with(path, '{DIRECTORY}/')")
 _add("d8_without_faces", lambda t: relations.count(relations.without(t.photos, t.faces, directory=CAMERA_ROLL, exact=True)), f"SELECT count(*) AS n FROM photos p WHERE directory = '{CAMERA_ROLL}' AND NOT EXISTS (SELECT 1 FROM faces f WHERE f.photo_id = p.id)")
-_add("d9_tags_of_photo", lambda t: relations.tags_of_photo(t.user_tags, t.photo_user_tags, 5), "SELECT u.id, u.name, u.color FROM user_tags u JOIN photo_user_tags b ON b.tag_id = u.id WHERE b.photo_id = 5")
+_add("d9_tags_of_photo", lambda t: relations.tags_of_photo(t.user_tags, t.photo_user_tags, t.least("photo_user_tags", "photo_id")), "SELECT u.id, u.name, u.color FROM user_tags u JOIN photo_user_tags b ON b.tag_id = u.id WHERE b.photo_id = (SELECT min(photo_id) FROM photo_user_tags)")
 _add("d10_album_paths", lambda t: relations.album_paths(t.photos, t.album_photos, 4), "SELECT p.path, b.position, b.added_at FROM photos p JOIN album_photos b ON b.photo_id = p.id WHERE b.album_id = 4")
-_add("d11_person_by_name", lambda t: relations.people_with_counts(t.people, t.faces, name="ANNA"), "SELECT p.id, p.name, count(f.id) AS face_count FROM people p LEFT JOIN faces f ON f.person_id = p.id WHERE lower(p.name) = 'anna' GROUP BY 1, 2")
+_add("d11_person_by_name", lambda t: relations.people_with_counts(t.people, t.faces, name=t.least("people", "name").upper()), "SELECT p.id, p.name, count(f.id) AS face_count FROM people p LEFT JOIN faces f ON f.person_id = p.id WHERE lower(p.name) = (SELECT lower(min(name)) FROM people) GROUP BY 1, 2")
 _add(
     "d13_similar_vectors",
     lambda t: duplicates.similar_vectors(t.embeddings.select(F.col("vec_id").alias("pos"), F.col("embedding").alias("x")), 0.3),
@@ -195,7 +199,7 @@ _add("e9_clusters", lambda t: relations.with_member_counts(t.face_clusters, t.fa
 _add("e10_albums", lambda t: relations.with_member_counts(t.albums, t.album_photos, "album_id", ["id", "name", "is_smart"], "photo_count"), "SELECT id, name, is_smart, (SELECT count(*) FROM album_photos b WHERE b.album_id = a.id) AS photo_count FROM albums a")
 _EXACT = "m AS (SELECT *, row_number() OVER (PARTITION BY sha256_hash ORDER BY taken_at NULLS FIRST, path) AS pos, count(*) OVER (PARTITION BY sha256_hash) AS n FROM photos WHERE sha256_hash IS NOT NULL), g AS (SELECT * FROM m WHERE n > 1)"
 _add("e11_exact_duplicates", lambda t: duplicates.exact_groups(t.photos).select("sha256_hash", "id", "pos"), f"WITH {_EXACT} SELECT sha256_hash, id, CAST(pos AS INT) AS pos FROM g")
-_add("e12_smart_album", lambda t: relations.smart_album(t.photo_user_tags, [1, 2]), "SELECT photo_id FROM photo_user_tags WHERE tag_id IN (1, 2) GROUP BY photo_id HAVING count(DISTINCT tag_id) = 2")
+_add("e12_smart_album", lambda t: relations.smart_album(t.photo_user_tags, [t.least("photo_user_tags", "tag_id")]), "SELECT photo_id FROM photo_user_tags WHERE tag_id = (SELECT min(tag_id) FROM photo_user_tags)")
 _add("e12_smart_albums", lambda t: relations.smart_albums(t.albums, t.photo_user_tags), "SELECT a.id AS album_id, b.photo_id FROM albums a JOIN photo_user_tags b ON b.tag_id = CAST(trim(a.filter_tags, '[]') AS BIGINT) WHERE a.is_smart")
 _add("e13_by_camera", lambda t: relations.by_camera(t.photos), "SELECT camera_make, camera_model, count(*) AS n FROM photos WHERE camera_model IS NOT NULL GROUP BY 1, 2")
 _add("e13_largest_directories", lambda t: relations.largest_directories(t.photos), "SELECT directory, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM photos GROUP BY 1 ORDER BY 3 DESC NULLS LAST, 1 LIMIT 10")
@@ -234,8 +238,17 @@ def _nearest(least: float) -> str:
 _add("f6_cascade_image", lambda t: search.cascade(t.photo_embeddings, t.photos, "bridge", _stored(t), _knows_nothing), _nearest(0.2))
 _add("f6_cascade_provider", lambda t: search.cascade(t.photo_embeddings, t.photos, "bridge", _knows_nothing, _stored(t)), _nearest(0.3))
 _add("f6_cascade", lambda t: search.cascade(t.photo_embeddings, t.photos, "bridge", _knows_nothing, _knows_nothing), "SELECT id AS photo_id, 1.0::DOUBLE AS similarity, path, filename FROM photos WHERE contains(lower(description), 'bridge') ORDER BY id LIMIT 20")
-_add("f7_perceptual_groups", lambda t: duplicates.perceptual_groups(t.photos, ALIKE).select("group_id", "id"))
-_add("f8_duplicate_report", lambda t: duplicates.exact_groups(t.photos).select("group_type", "id").unionByName(duplicates.perceptual_groups(t.photos, ALIKE).select("group_type", "id")))
+# hashes as upper-case hexadecimal text, null where they do not give 256 bits, and their words
+_BLANK = "regexp_replace(perceptual_hash, '\\s+', '', 'g')"
+_BITS = f"CASE WHEN regexp_full_match({_BLANK}, '[0-9A-Fa-f]{{64}}') THEN upper({_BLANK}) WHEN regexp_full_match({_BLANK}, '[A-Za-z0-9+/_-]{{43}}=?') THEN hex(from_base64(replace(translate({_BLANK}, '-_', '+/'), '=', '') || '=')) END"
+_APART = " + ".join(f"bit_count(xor(a.q[{k}], b.q[{k}]))::INT" for k in range(1, 5))
+_HASHED = f"h AS (SELECT id, path, {_BITS} AS bits FROM photos), p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY path) AS i, id, bits, list_transform(range(4), lambda k: CAST('0x' || substr(bits, 16 * k + 1, 16) AS UBIGINT)) AS q FROM h WHERE bits IS NOT NULL)"
+_LEADERS = f"""{_HASHED}, n AS MATERIALIZED (SELECT a.i, a.id, coalesce(list(b.i ORDER BY b.i) FILTER (b.i IS NOT NULL), []) AS nb FROM p a LEFT JOIN p b ON b.i < a.i AND {_APART} <= {ALIKE} GROUP BY a.i, a.id),
+ st(i, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.i, CASE WHEN len(n.nb) = 0 OR len(list_intersect(n.nb, st.leaders)) = 0 THEN list_append(st.leaders, n.i) ELSE st.leaders END FROM st JOIN n ON n.i = st.i + 1),
+ z AS (SELECT leaders FROM st ORDER BY i DESC LIMIT 1), led AS (SELECT n.id, CASE WHEN list_contains(leaders, n.i) THEN n.i ELSE list_min(list_intersect(nb, leaders)) END AS leader FROM n, z),
+ gr AS (SELECT led.id, p.id AS group_id, count(*) OVER (PARTITION BY leader) AS c FROM led JOIN p ON p.i = led.leader)"""
+_add("f7_perceptual_groups", lambda t: duplicates.perceptual_groups(t.photos, ALIKE).select("group_id", "id"), f"WITH RECURSIVE {_LEADERS} SELECT group_id, id FROM gr WHERE c > 1")
+_add("f8_duplicate_report", lambda t: duplicates.exact_groups(t.photos).select("group_type", "id").unionByName(duplicates.perceptual_groups(t.photos, ALIKE).select("group_type", "id")), f"WITH RECURSIVE {_LEADERS}, {_EXACT} SELECT 'exact' AS group_type, id FROM g UNION ALL SELECT 'perceptual', id FROM gr WHERE c > 1")
 _add("f9_scores", lambda t: t.photos.select("id", X.quality_score(F.col("width"), F.col("height"), F.col("size_bytes"), F.col("taken_at")).alias("score")), f"SELECT id, CAST(floor(coalesce(CAST(width AS DOUBLE) * height / 10000, 0)) + floor(coalesce(size_bytes, 0) / 100000) + CASE WHEN taken_at IS NULL THEN 0 ELSE 10 END AS BIGINT) AS score FROM photos")
 _FLOOR = "CAST(floor(coalesce(CAST(width AS DOUBLE) * height / 10000, 0)) + floor(coalesce(size_bytes, 0) / 100000) + CASE WHEN taken_at IS NULL THEN 0 ELSE 10 END AS BIGINT)"
 _add("f10_keep_best", lambda t: duplicates.keep_best(duplicates.exact_groups(t.photos), "sha256_hash").select("sha256_hash", "id", "score", "delete"), f"WITH {_EXACT} SELECT sha256_hash, id, {_FLOOR} AS score, row_number() OVER (PARTITION BY sha256_hash ORDER BY {_FLOOR} DESC, pos) > 1 OR coalesce(marked_for_deletion, false) AS delete FROM g")
@@ -262,7 +275,10 @@ _add(
  SELECT vec_id AS pos, CASE WHEN list_contains(leaders, vec_id) THEN vec_id ELSE list_min(list_intersect(nb, leaders)) END AS leader FROM g, l""",
 )
 _add("f16_merge_clusters", lambda t: mutations.merge_clusters(t.faces, t.face_cluster_members, [1, 2, 3], 1).select("id", "person_id"), "SELECT id, CASE WHEN person_id IS NULL AND id IN (SELECT face_id FROM face_cluster_members WHERE cluster_id IN (1, 2, 3)) THEN 1 ELSE person_id END AS person_id FROM faces")
-_add("f18_suppress_boxes", lambda t: duplicates.box_leaders(t.faces.select("id", "photo_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "confidence"), 0.3))
+_add("f18_suppress_boxes", lambda t: duplicates.box_leaders(t.faces.select("id", "photo_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "confidence"), 0.3), """WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY confidence DESC NULLS LAST, id) AS r FROM faces),
+ n AS MATERIALIZED (SELECT a.photo_id, a.id, a.r, coalesce(list(b.r) FILTER (b.r IS NOT NULL), []) AS nb FROM o a LEFT JOIN o b ON a.photo_id = b.photo_id AND b.r < a.r AND ({i}) > 0.3 * (a.bbox_w * a.bbox_h + b.bbox_w * b.bbox_h - ({i})) AND a.bbox_w * a.bbox_h + b.bbox_w * b.bbox_h - ({i}) > 0 GROUP BY ALL),
+ st(photo_id, r, kept, id, keep) AS (SELECT photo_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT, false FROM o GROUP BY 1 UNION ALL SELECT n.photo_id, n.r, CASE WHEN len(list_intersect(n.nb, st.kept)) = 0 THEN list_append(st.kept, n.r) ELSE st.kept END, n.id, len(list_intersect(n.nb, st.kept)) = 0 FROM st JOIN n ON n.photo_id = st.photo_id AND n.r = st.r + 1)
+ SELECT photo_id, id FROM st WHERE keep""".format(i="greatest(0, least(a.bbox_x + a.bbox_w, b.bbox_x + b.bbox_w) - greatest(a.bbox_x, b.bbox_x)) * greatest(0, least(a.bbox_y + a.bbox_h, b.bbox_y + b.bbox_h) - greatest(a.bbox_y, b.bbox_y))"))
 _BOX = ["bbox_x", "bbox_y", "bbox_w", "bbox_h"]
 
 
@@ -323,8 +339,8 @@ _add("i2_event", lambda t: t.photos.select("id", X.event(F.col("tags"), F.col("d
 _add("i3_brief", lambda t: t.photos.select("id", X.brief(F.col("description")).alias("brief")), f"SELECT id, nullif({_SANE(chr(97) + '')}, '') AS brief FROM (SELECT id, array_to_string(list_filter(regexp_split_to_array(split_part(description, '.', 1), '\\s+'), lambda x: x <> '')[1:4], ' ') AS a FROM photos)")
 _add("i6_folder", lambda t: t.photos.select("id", X.destination_folder(F.lit("/library"), F.col("taken_at")).alias("folder")), "SELECT id, concat('/library/', CASE WHEN try_strptime(taken_at, ['%Y-%m-%d %H:%M:%S', '%Y:%m:%d %H:%M:%S']) IS NOT NULL AND regexp_full_match(taken_at, '\\d{4}[-:]\\d{2}[-:]\\d{2} \\d{2}:\\d{2}:\\d{2}') THEN strftime(try_strptime(taken_at, ['%Y-%m-%d %H:%M:%S', '%Y:%m:%d %H:%M:%S']), '%Y/%m') ELSE 'unknown' END) AS folder FROM photos")
 _add("i7_organise", lambda t: pipelines.organise(t.photos, "/library"))
-_add("j2_suggest_tags", lambda t: lookups.suggest_tags(t.user_tags, "AN"), "SELECT id, name FROM user_tags WHERE contains(lower(name), 'an')")
-_add("j3_rename", lambda t: pipelines.rename_plan(t.photos.select("path", "filename", F.lit(1_000_000_000).alias("mtime_s")), "{date}_{counter}_{name}.{ext}"))
+_add("j2_suggest_tags", lambda t: lookups.suggest_tags(t.user_tags, t.least("user_tags", "name").strip()[:2].upper()), "SELECT id, name FROM user_tags WHERE contains(lower(name), lower(substr(trim((SELECT min(name) FROM user_tags)), 1, 2)))")
+_add("j3_rename", lambda t: pipelines.rename_plan(t.photos.select("path", "filename", F.lit(1_000_000_000).alias("mtime_s")), "{date}_{counter}_{name}.{ext}"), "SELECT path, '20010920_' || printf('%03d', row_number() OVER (ORDER BY path)) || '_' || regexp_replace(filename, '(.)\\.[^.]*$', '\\1') || '.' || lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS new_name FROM photos")
 _add("j4_rename_conflicts", lambda t: pipelines.rename_conflicts(t.photos.select(F.lower("filename").alias("new_name")), t.photos), "SELECT lower(filename) AS new_name, 'duplicate' AS kind FROM photos GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT lower(filename), 'exists' FROM photos WHERE lower(filename) IN (SELECT filename FROM photos)")
 _add("j5_sizes", lambda t: t.photos.select("id", X.size_text(F.col("size_bytes")).alias("size")), "SELECT id, CASE WHEN size_bytes >= 1073741824 THEN printf('%.1f GB', size_bytes / 1073741824.0) WHEN size_bytes >= 1048576 THEN printf('%.1f MB', size_bytes / 1048576.0) WHEN size_bytes >= 1024 THEN printf('%.1f KB', size_bytes / 1024.0) ELSE CAST(size_bytes AS VARCHAR) || ' bytes' END AS size FROM photos")
 _ESC = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
@@ -332,12 +348,17 @@ _add("j6_escape", lambda t: t.documents.select("doc_id", X.html_escape(F.col("te
 _add("j7_camera_line", lambda t: t.photos.select("id", X.camera_line(F.col("aperture"), F.col("shutter_speed"), F.col("iso"), F.col("focal_length")).alias("line")), "SELECT id, concat_ws(' | ', CASE WHEN aperture IS NOT NULL THEN printf('f/%.1f', aperture) END, shutter_speed || 's', 'ISO ' || iso, CASE WHEN focal_length IS NOT NULL THEN printf('%.0fmm', focal_length) END) AS line FROM photos")
 _add("j9_images", lambda t: relations.count(t.photos, X.extension(F.col("path")).isin(X.IMAGE_EXTENSIONS)), "SELECT count(*) AS n FROM photos WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN (" + ", ".join(f"'{e}'" for e in X.IMAGE_EXTENSIONS) + ")")
 _add("l1_replies", lambda t: pipelines.parse_reply(t.photos.select("id", F.concat(F.coalesce("description", F.lit("none")), F.lit("\nTags: A, *b*")).alias("text"))).select("id", "reply_description", F.array_join("reply_tags", "|").alias("tags")), "SELECT id, trim(coalesce(description, 'none'), ' ') AS reply_description, 'a|b' AS tags FROM photos")
-_add("b4_html", lambda t: exports.html_rows(t.photos))
+_HTML_LINE = lambda label, c: f"coalesce('<p>{label}: ' || {_ESC(c)} || '</p>', '')"
+_HTML_SIZE = "CASE WHEN size_bytes >= 1073741824 THEN printf('%.1f GB', size_bytes / 1073741824.0) WHEN size_bytes >= 1048576 THEN printf('%.1f MB', size_bytes / 1048576.0) WHEN size_bytes >= 1024 THEN printf('%.1f KB', size_bytes / 1024.0) ELSE CAST(size_bytes AS VARCHAR) || ' bytes' END"
+_add(
+    "b4_html", lambda t: exports.html_rows(t.photos),
+    f"SELECT path, '<div class=\"card\"><h2>' || {_ESC(BASE)} || '</h2>' || " + " || ".join(_HTML_LINE(label, c) for label, c in (("Path", "path"), ("Size", f"({_HTML_SIZE})"), ("Taken", "taken_at"), ("Camera", "concat_ws(' ', camera_make, camera_model)"), ("Description", "description"), ("Tags", "tags"))) + " || '</div>' AS value FROM photos",
+)
 _add("s1_event_windows", lambda t: ingest.event_windows(t.events).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total")), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 _add("k_json_props", lambda t: t.events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 
 # further lookups and scores
-_add("c7_people_of_photo", lambda t: t.faces.where("photo_id = 5").join(t.people.select(F.col("id").alias("person_id"), "name"), "person_id").select("name").distinct(), "SELECT DISTINCT p.name FROM faces f JOIN people p ON p.id = f.person_id WHERE f.photo_id = 5")
+_add("c7_people_of_photo", lambda t: t.faces.where(F.col("photo_id") == t.least("photo_user_tags", "photo_id")).join(t.people.select(F.col("id").alias("person_id"), "name"), "person_id").select("name").distinct(), "SELECT DISTINCT p.name FROM faces f JOIN people p ON p.id = f.person_id WHERE f.photo_id = (SELECT min(photo_id) FROM faces WHERE person_id IS NOT NULL)")
 _add("f1_cosines", lambda t: _consecutive(t, X.cosine), "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS value FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 _add("f2_distances", lambda t: _consecutive(t, X.euclidean), "SELECT a.vec_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS value FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 _add("f3_matches", lambda t: _consecutive(t, X.cosine).where("value > 0.1").select("vec_id"), "SELECT a.vec_id FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) > 0.1")
@@ -346,7 +367,7 @@ _add("f20_clipped_boxes", lambda t: t.faces.where("confidence > 0.7").select("id
 _add("f21_padded_boxes", lambda t: t.faces.join(t.photos.select(F.col("id").alias("photo_id"), "width"), "photo_id").select("id", X.padded("bbox_x", "bbox_w", F.col("width"))[0].alias("x"), X.padded("bbox_x", "bbox_w", F.col("width"))[1].alias("w")), "SELECT f.id, greatest(0, bbox_x - bbox_w // 5) AS x, least(bbox_w + 2 * (bbox_w // 5), width - greatest(0, bbox_x - bbox_w // 5)) AS w FROM faces f JOIN photos p ON p.id = f.photo_id")
 _add("f25_one_group", lambda t: duplicates.exact_groups(t.photos.where(F.col("sha256_hash") == t.photos.groupBy("sha256_hash").count().where("sha256_hash IS NOT NULL AND count > 1").agg(F.min("sha256_hash")).first()[0])).select("id", "pos"), "WITH h AS (SELECT min(sha256_hash) AS s FROM (SELECT sha256_hash FROM photos GROUP BY 1 HAVING count(*) > 1 AND sha256_hash IS NOT NULL)) SELECT id, CAST(row_number() OVER (ORDER BY taken_at NULLS FIRST, path) AS INT) AS pos FROM photos, h WHERE sha256_hash = s")
 _add("f27_hit", lambda t: t.photos.where("id = 5").select("id", "path", "filename", F.lit(0.5).alias("similarity")), "SELECT id, path, filename, 0.5::DOUBLE AS similarity FROM photos WHERE id = 5")
-_add("d12_similar_hashes", lambda t: duplicates.hamming_edges(t.photos.select(F.col("id").alias("pos"), duplicates.H.perceptual_bits(F.col("perceptual_hash")).alias("bits")).where("bits IS NOT NULL"), ALIKE))
+_add("d12_similar_hashes", lambda t: duplicates.hamming_edges(t.photos.select(F.col("id").alias("pos"), duplicates.H.perceptual_bits(F.col("perceptual_hash")).alias("bits")).where("bits IS NOT NULL"), ALIKE), f"WITH {_HASHED} SELECT a.id AS i, b.id AS j, {_APART} AS distance FROM p a JOIN p b ON a.id < b.id WHERE {_APART} <= {ALIKE} AND a.bits <> repeat('0', 64) AND b.bits <> repeat('0', 64)")
 _add("d14_query_vector", lambda t: search.by_vector(t.embeddings, [1.0] + [0.0] * 63, 10, -1.0, "vec_id"), "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], [1.0] || list_transform(range(63), lambda x: 0.0)), 6) AS similarity FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10")
 _add("d15_listing_join", lambda t: t.incoming_photos.select("path").distinct().join(t.photos.select("path", "modified_at"), "path", "left"), "SELECT DISTINCT i.path, p.modified_at FROM incoming_photos i LEFT JOIN photos p ON p.path = i.path")
 _add("e15_scan_summary", lambda t: pipelines.scan_actions(t.photos.select("path"), t.photos.where("width IS NOT NULL")).groupBy("action").agg(F.count("*").alias("n")), "SELECT CASE WHEN width IS NULL THEN 'insert' ELSE 'update' END AS action, count(*) AS n FROM photos GROUP BY 1")
@@ -404,4 +425,4 @@ _add("j8_paste", lambda t: t.incoming_photos.select(X.basename(F.col("path")).al
 _add("l2_prompts", lambda t: t.photos.join(t.directory_prompts, "directory", "left").select("id", pipelines.prompt(F.lit("Describe."), F.col("custom_prompt")).alias("prompt")), "SELECT p.id, CASE WHEN d.custom_prompt <> '' THEN 'Context: ' || d.custom_prompt || chr(10) || chr(10) || 'Describe.' ELSE 'Describe.' END AS prompt FROM photos p LEFT JOIN directory_prompts d ON d.directory = p.directory")
 _add("b6_copy_missing", lambda t: exports.copy_missing(t.photos.select("id"), t.photos.where("is_favorite").select("id"), ["id"]), "SELECT id FROM photos WHERE NOT coalesce(is_favorite, false)")
 _add("b7_watermarks", lambda t: t.photos.agg(F.max("id").alias("top")), "SELECT max(id) AS top FROM photos")
-_add("b2_json_rows", lambda t: lookups.export_rows(t.photos).select("path", F.to_json(F.struct("filename", "size_bytes"), {"ignoreNullFields": "false"}).alias("line")))
+_add("b2_json_rows", lambda t: lookups.export_rows(t.photos).select("path", F.to_json(F.struct(*lookups.EXPORT), {"ignoreNullFields": "false"}).alias("line")), "SELECT path, '{' || concat_ws(',', " + ", ".join(f"'\"{c}\":' || " + (f"coalesce(CAST({c} AS VARCHAR), 'null')" if c in ("size_bytes", "width", "height") else f"coalesce(CAST(to_json({BASE if c == 'filename' else c}) AS VARCHAR), 'null')") for c in lookups.EXPORT) + ") || '}' AS line FROM photos")
