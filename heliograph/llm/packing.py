@@ -24,11 +24,12 @@ CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which this vocabulary's tokenizer splits a text before its merges.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Patterns that the fit may use at most; the plan's size depends on this and on the capacity, never on the documents.
-MAX_PATTERNS = 20_000
 #: Tokens that a pattern may leave free.
 SLACK = 8
-FIT_ROUNDS = 400
+#: Lengths that are put beside each length in patterns; the plan's size depends on this and on the capacity, never on the documents.
+COMPANIONS = 24
+#: Share of the squares that rounds of the fit must take off to go on.
+SETTLED = 0.003
 #: Documents of one length that are ranked together, about.
 RANK_PART = 200_000
 
@@ -53,25 +54,25 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str
     return texts.mapInArrow(count, "doc_id bigint, tokens bigint").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 
-def enumerate_patterns(histogram: np.ndarray, capacity: int, most: int = MAX_PATTERNS, slack: int = SLACK) -> list[tuple[tuple[int, int], ...]]:
+def enumerate_patterns(histogram: np.ndarray, capacity: int, slack: int = SLACK) -> list[tuple[tuple[int, int], ...]]:
     """Patterns ((length, copies), ...) of up to four different lengths that fill a container up to ``slack`` tokens.
 
-    ``histogram[l]`` counts the items of length l. Each starts from a length that occurs, adds one or more copies of another
-    and closes with the length that fits best; the more frequent of two fits is taken.
+    ``histogram[l]`` counts the items of length l. Each length that occurs starts patterns: one, two or as many copies as fit,
+    with one or as many copies of each of ``COMPANIONS`` other lengths, closed by the length that fits best, or by two of them.
     """
     lengths = np.flatnonzero(histogram[1:]) + 1
     if not len(lengths):
         return []
-    # best[s]: the largest length that occurs and fits into s, and the most frequent one that leaves at most `slack`
+    # fits[s]: the largest length that occurs and fits into s; close[s]: the most frequent one that leaves at most `slack`
     fits = np.zeros(capacity + 1, np.int64)
     fits[lengths] = lengths
-    fits = np.maximum.accumulate(fits)
-
-    def close(space: int) -> int:
+    fits = np.maximum.accumulate(fits).tolist()
+    close = [0] * (capacity + 1)
+    for space in range(1, capacity + 1):
         low = max(1, space - slack)
         window = histogram[low : space + 1]
-        return low + int(window.argmax()) if space >= 1 and window.size and window.max() > 0 else 0
-
+        close[space] = low + int(window.argmax()) if window.max() > 0 else 0
+    have = histogram.tolist()
     found: dict[tuple[tuple[int, int], ...], None] = {}
 
     def add(*items: tuple[int, int]) -> None:
@@ -79,38 +80,35 @@ def enumerate_patterns(histogram: np.ndarray, capacity: int, most: int = MAX_PAT
         for length, n in items:
             copies[length] = copies.get(length, 0) + n
         used = sum(length * n for length, n in copies.items())
-        if capacity - slack <= used <= capacity and all(histogram[length] >= n for length, n in copies.items()):
+        if capacity - slack <= used <= capacity and all(have[length] >= n for length, n in copies.items()):
             found[tuple(sorted(copies.items(), reverse=True))] = None
 
     # companions: lengths at even steps of the documents' distribution, so all sizes are met however they are spread
-    steps = np.searchsorted(np.cumsum(histogram[lengths]), np.linspace(1, histogram[lengths].sum(), 48))
-    companions = np.unique(lengths[np.minimum(steps, len(lengths) - 1)])
-    for a in lengths[::-1].tolist():
-        if len(found) >= most:
-            break
+    steps = np.searchsorted(np.cumsum(histogram[lengths]), np.linspace(1, histogram[lengths].sum(), COMPANIONS))
+    companions = np.unique(lengths[np.minimum(steps, len(lengths) - 1)]).tolist()
+    for a in lengths.tolist():
         for n in {1, 2, capacity // a}:
             rest = capacity - a * n
             if rest < 0:
                 continue
             add((a, n))
-            if c := close(rest):
-                add((a, n), (c, 1))
-            for b in companions.tolist():
-                for m in {1, 2, rest // b} if rest >= b else ():
+            if close[rest]:
+                add((a, n), (close[rest], 1))
+            for b in companions:
+                for m in {1, rest // b} if rest >= b else ():
                     left = rest - b * m
-                    if left < 0 or not m:
-                        continue
-                    if c := close(left):
-                        add((a, n), (b, m), (c, 1))
-                    elif left > 0 and (c := int(fits[left])) and (d := close(left - c)):
-                        add((a, n), (b, m), (c, 1), (d, 1))
-    return list(found)[:most]
+                    if close[left]:
+                        add((a, n), (b, m), (close[left], 1))
+                    elif left > 0 and (c := fits[left]) and close[left - c]:
+                        add((a, n), (b, m), (c, 1), (close[left - c], 1))
+    return list(found)
 
 
-def fit_counts(histogram: np.ndarray, patterns: list[tuple[tuple[int, int], ...]], rounds: int = FIT_ROUNDS) -> np.ndarray:
+def fit_counts(histogram: np.ndarray, patterns: list[tuple[tuple[int, int], ...]]) -> np.ndarray:
     """Repeat counts x >= 0 that bring the patterns' lengths closest to the histogram in least squares.
 
-    Multiplicative updates: they keep x non-negative, need no factorisation and touch only a pattern's own lengths.
+    Multiplicative updates: they keep x non-negative, need no factorisation and touch only a pattern's own lengths. They go
+    on until ten rounds lessen the squares by no more than the share ``SETTLED``.
     """
     column = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
     row = np.array([length for p in patterns for length, _ in p])
@@ -118,10 +116,16 @@ def fit_counts(histogram: np.ndarray, patterns: list[tuple[tuple[int, int], ...]
     h = histogram.astype(float)
     toward = np.bincount(column, value * h[row], len(patterns))
     x = np.full(len(patterns), h.sum() / max(1.0, value.sum()))
-    for _ in range(rounds):
+    before, rounds = np.inf, 0
+    while True:
         made = np.bincount(row, value * x[column], len(h))
+        if rounds % 10 == 0:
+            now = float(((made - h) ** 2).sum())
+            if not now < (1 - SETTLED) * before:
+                return x
+            before = now
         x *= toward / np.maximum(np.bincount(column, value * made[row], len(patterns)), 1e-12)
-    return x
+        rounds += 1
 
 
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:

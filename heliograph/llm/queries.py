@@ -26,7 +26,7 @@ def _group_members(spark: SparkSession, root: str) -> DataFrame:
         "id", "path", "taken_at", "modified_at", "scanned_at", "all_exif", "width", "height", "size_bytes", "camera_model", "gps_latitude", "gps_longitude", "trashed_at"
     )
     roots = table(spark, root, "library_roots")
-    taken = timestamps.with_source(timestamps.taken_instants(photos, roots), roots).withColumnRenamed("root_dir", "source")
+    taken = timestamps.taken_instants(photos, roots, source="source")
     return survivors.members(table(spark, root, "photo_similarity"), table(spark, root, "similarity_groups"), taken)
 
 
@@ -73,6 +73,20 @@ def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, root, "documents")))
 
 
+def p8_audit(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the containers: each document is placed, none overflows, none is split without need or torn apart."""
+    placed = packing.pack(packing.token_counts(table(spark, root, "documents")))
+    own = placed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.max("piece").alias("last"), F.sum("tokens").alias("tokens"), F.countDistinct("piece").alias("different"))
+    documents = own.agg(
+        F.count("*").alias("documents"),
+        F.count(F.when((F.col("pieces") > 1) & (F.col("tokens") <= packing.CAPACITY), 1)).alias("split_without_need"),
+        F.count(F.when((F.col("pieces") != F.col("last") + 1) | (F.col("different") != F.col("pieces")), 1)).alias("torn"),
+    )
+    used = placed.groupBy("container_id").agg(F.sum("tokens").alias("used"))
+    full = used.agg(F.count(F.when(F.col("used") > packing.CAPACITY, 1)).alias("overfull"), (F.sum("used") >= 0.98 * packing.CAPACITY * F.count(F.when(F.col("used") > 0, 1))).alias("nearly_full"))
+    return documents.join(full, F.lit(True))  # one row each
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
 
@@ -81,7 +95,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return stuffing.find_spam(table(spark, root, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p7_found": p7_found, "p8_containers": p8_containers, "p8_audit": p8_audit, "p9_found": p9_found, "p10_found": p10_found}
 # Hashes as upper-case hexadecimal text, null where they do not give 256 bits.
 _B64 = "hex(from_base64(CASE WHEN regexp_full_match({0}, '[A-Za-z0-9+/_-]{{43}}=?') THEN replace(translate({0}, '-_', '+/'), '=', '') || '=' END))"
 _HASH = f"CASE WHEN regexp_full_match({{0}}, '[0-9A-Fa-f]{{{{64}}}}') THEN upper({{0}}) ELSE {_B64} END"
@@ -124,5 +138,6 @@ ORACLE_SQL: dict[str, str] = {
  w AS MATERIALIZED (SELECT id, batch, sha, list_transform(range(4), lambda k: CAST('0x' || substr(bits, 16 * k + 1, 16) AS UBIGINT)) AS q FROM x)
  SELECT DISTINCT least(a.id, b.id) AS photo_id_a, greatest(a.id, b.id) AS photo_id_b FROM w a JOIN w b ON b.batch < a.batch
  WHERE a.sha = b.sha OR bit_count(xor(a.q[1], b.q[1]))::INT + bit_count(xor(a.q[2], b.q[2]))::INT + bit_count(xor(a.q[3], b.q[3]))::INT + bit_count(xor(a.q[4], b.q[4]))::INT <= 16""",
+    "p8_audit": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS split_without_need, 0::BIGINT AS torn, 0::BIGINT AS overfull, true AS nearly_full FROM documents",
     "p9_found": f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM ({_grams('doc_id', 'documents')}) d JOIN ({_grams('item_id', 'eval_items')}) i USING (g)",
 }
