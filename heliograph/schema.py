@@ -41,6 +41,11 @@ REFERENCES = [
     ("albums", "cover_photo_id", "photos", "set null"), ("album_photos", "album_id", "albums", "cascade"), ("album_photos", "photo_id", "photos", "cascade"),
 ]
 
+#: All tables, each after those that it refers to.
+PARENTS_FIRST = [
+    "photos", "similarity_groups", "photo_similarity", "scans", "llm_queue", "embeddings", "people", "faces", "face_clusters", "face_cluster_members", "face_scans", "scheduled_tasks",
+    "user_tags", "photo_user_tags", "albums", "album_photos", "directory_prompts",
+]
 
 _TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "array<float>": T.ArrayType(T.FloatType())}
 
