@@ -5,6 +5,8 @@ Tables that the tests lack are derived from those they have, by the same rule on
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from heliograph import schema
 from heliograph.catalog import assign_ids, cascade
 from heliograph.functions import exprs as X
-from heliograph.operators import duplicates, lookups, mutations, pipelines, relations, search
+from heliograph.operators import duplicates, jobs, lookups, mutations, pipelines, relations, search
 from heliograph.runtime import table
 from heliograph.sources import exports
 from heliograph.streaming import ingest
@@ -147,7 +149,7 @@ _add(
 _add("c9_marked", lambda t: lookups.marked(t.photos), f"SELECT {R} FROM photos WHERE marked_for_deletion")
 _add("c10_marked_not_trashed", lambda t: lookups.marked(t.photos, False), f"SELECT {R} FROM photos WHERE marked_for_deletion AND trashed_at IS NULL")
 _add("c11_trashed", lambda t: lookups.trashed(t.photos), "SELECT id, path, original_path, size_bytes, trashed_at FROM photos WHERE trashed_at IS NOT NULL")
-_add("c12_old_trashed", lambda t: lookups.trashed(t.photos, "2025-10-01T00:00:00+00:00"), "SELECT id, path, original_path, size_bytes, trashed_at FROM photos WHERE trashed_at < '2025-10-01T00:00:00+00:00'")
+_add("c12_old_trashed", lambda t: jobs.expire_trash(t.photos, "2025-10-31T00:00:00", 30)[1], "SELECT id, path, original_path, size_bytes, trashed_at FROM photos WHERE trashed_at < '2025-10-01T00:00:00+00:00'")
 _add("c13_undescribed", lambda t: lookups.undescribed(t.photos), "SELECT id, path FROM photos WHERE description IS NULL")
 _add("c14_undescribed_prefix", lambda t: lookups.undescribed(t.photos, "/vault/har", "prefix"), "SELECT id, path FROM photos WHERE description IS NULL AND starts_with(path, '/vault/har')")
 _add("c15_undescribed_exact", lambda t: lookups.undescribed(t.photos, CAMERA_ROLL, "exact", 50), f"SELECT id, path FROM photos WHERE description IS NULL AND directory = '{CAMERA_ROLL}' ORDER BY id LIMIT 50")
@@ -214,7 +216,6 @@ _add(
     lambda t: search.by_vector(t.embeddings, t.embeddings.where("vec_id = 0").first()["embedding"], 20, -1.0, "vec_id"),
     "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings ORDER BY 2 DESC, 1 LIMIT 20",
 )
-_add("f4_photo_search", lambda t: search.with_photos(search.by_vector(t.photo_embeddings.where("size(embedding) = 128"), t.photo_embeddings.where("size(embedding) = 128").orderBy("photo_id").first()["embedding"], 20, 0.2), t.photos))
 _add(
     "f5_word_search",
     lambda t: search.by_words(t.photos, "bridge Light bridge view", 20),
@@ -235,6 +236,7 @@ def _nearest(least: float) -> str:
     return f"WITH v AS MATERIALIZED (SELECT photo_id, embedding::DOUBLE[] AS e FROM photo_embeddings WHERE len(embedding) = 128), q AS (SELECT e AS one FROM v ORDER BY photo_id LIMIT 1), s AS (SELECT photo_id, round(list_cosine_similarity(e, one), 6) AS similarity FROM v, q), h AS (SELECT * FROM s WHERE similarity >= {least} AND NOT isnan(similarity) ORDER BY similarity DESC, photo_id LIMIT 20) SELECT photo_id, similarity, path, filename FROM h JOIN photos ON id = photo_id"
 
 
+_add("f4_photo_search", lambda t: search.with_photos(search.by_vector(t.photo_embeddings.where("size(embedding) = 128"), t.photo_embeddings.where("size(embedding) = 128").orderBy("photo_id").first()["embedding"], 20, 0.2), t.photos), _nearest(0.2))
 _add("f6_cascade_image", lambda t: search.cascade(t.photo_embeddings, t.photos, "bridge", _stored(t), _knows_nothing), _nearest(0.2))
 _add("f6_cascade_provider", lambda t: search.cascade(t.photo_embeddings, t.photos, "bridge", _knows_nothing, _stored(t)), _nearest(0.3))
 _add("f6_cascade", lambda t: search.cascade(t.photo_embeddings, t.photos, "bridge", _knows_nothing, _knows_nothing), "SELECT id AS photo_id, 1.0::DOUBLE AS similarity, path, filename FROM photos WHERE contains(lower(description), 'bridge') ORDER BY id LIMIT 20")
@@ -363,7 +365,7 @@ _add("f1_cosines", lambda t: _consecutive(t, X.cosine), "SELECT a.vec_id, round(
 _add("f2_distances", lambda t: _consecutive(t, X.euclidean), "SELECT a.vec_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS value FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 _add("f3_matches", lambda t: _consecutive(t, X.cosine).where("value > 0.1").select("vec_id"), "SELECT a.vec_id FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) > 0.1")
 _add("f17_missing_vectors", lambda t: lookups.first(t.faces, "embedding IS NULL", 10_000, ["id"], ["id", "photo_id"]), "SELECT id, photo_id FROM faces WHERE embedding IS NULL ORDER BY id LIMIT 10000")
-_add("f20_clipped_boxes", lambda t: t.faces.where("confidence > 0.7").select("id", F.greatest("bbox_x", F.lit(0)).alias("x"), F.greatest("bbox_w", F.lit(1)).alias("w")), "SELECT id, greatest(bbox_x, 0) AS x, greatest(bbox_w, 1) AS w FROM faces WHERE confidence > 0.7")
+_add("f20_clipped_boxes", lambda t: t.faces.where("confidence > 0.7").select("id", *(F.greatest(f"bbox_{c}", F.lit(least)).alias(c) for c, least in (("x", 0), ("y", 0), ("w", 1), ("h", 1)))), "SELECT id, greatest(bbox_x, 0) AS x, greatest(bbox_y, 0) AS y, greatest(bbox_w, 1) AS w, greatest(bbox_h, 1) AS h FROM faces WHERE confidence > 0.7")
 _add("f21_padded_boxes", lambda t: t.faces.join(t.photos.select(F.col("id").alias("photo_id"), "width"), "photo_id").select("id", X.padded("bbox_x", "bbox_w", F.col("width"))[0].alias("x"), X.padded("bbox_x", "bbox_w", F.col("width"))[1].alias("w")), "SELECT f.id, greatest(0, bbox_x - bbox_w // 5) AS x, least(bbox_w + 2 * (bbox_w // 5), width - greatest(0, bbox_x - bbox_w // 5)) AS w FROM faces f JOIN photos p ON p.id = f.photo_id")
 _add("f25_one_group", lambda t: duplicates.exact_groups(t.photos.where(F.col("sha256_hash") == t.photos.groupBy("sha256_hash").count().where("sha256_hash IS NOT NULL AND count > 1").agg(F.min("sha256_hash")).first()[0])).select("id", "pos"), "WITH h AS (SELECT min(sha256_hash) AS s FROM (SELECT sha256_hash FROM photos GROUP BY 1 HAVING count(*) > 1 AND sha256_hash IS NOT NULL)) SELECT id, CAST(row_number() OVER (ORDER BY taken_at NULLS FIRST, path) AS INT) AS pos FROM photos, h WHERE sha256_hash = s")
 _add("f27_hit", lambda t: t.photos.where("id = 5").select("id", "path", "filename", F.lit(0.5).alias("similarity")), "SELECT id, path, filename, 0.5::DOUBLE AS similarity FROM photos WHERE id = 5")
@@ -377,7 +379,7 @@ _add("e16_change_totals", lambda t: pipelines.detect_changes(t.photos.select("pa
 _set = lambda c, k, v: f"CASE WHEN id = {k} THEN {v} ELSE {c} END AS {c}"
 _add("g1_insert_scanned", lambda t: mutations.insert_new(t.photos.select("id", "path"), t.incoming_photos.select("path").distinct(), ["path"], ["path"]), "SELECT id, path FROM photos UNION ALL SELECT (SELECT max(id) FROM photos) + row_number() OVER (ORDER BY path), path FROM (SELECT DISTINCT path FROM incoming_photos WHERE path NOT IN (SELECT path FROM photos))")
 _add("g2_update_scanned", lambda t: mutations.update_from(t.photos.select("id", "width", "height"), t.photos.where("width IS NULL").select("id", F.lit(1).alias("width"), F.lit(2).alias("height")), "id"), "SELECT id, coalesce(width, 1) AS width, CASE WHEN width IS NULL THEN 2 ELSE height END AS height FROM photos")
-_add("g4_ensure_photo", lambda t: mutations.insert_new(t.photos.select("id", "path"), t.photos.limit(1).select(F.lit("/new/a.jpg").alias("path")), ["path"], ["path"]).agg(F.count("*").alias("n"), F.max("id").alias("top")), "SELECT count(*) + 1 AS n, max(id) + 1 AS top FROM photos")
+_add("g4_ensure_photo", lambda t: mutations.insert_new(t.photos.select("id", "path"), t.spark.createDataFrame([("/new/a.jpg",)], "path string"), ["path"], ["path"]).agg(F.count("*").alias("n"), F.max("id").alias("top")), "SELECT count(*) + 1 AS n, max(id) + 1 AS top FROM photos")
 _add("g5_save_description", lambda t: mutations.save_description(t.photos, t.min_path(), "new", NOW).select("id", "description"), "SELECT id, CASE WHEN path = (SELECT min(path) FROM photos) THEN 'new' ELSE description END AS description FROM photos")
 _add("g7_description_by_id", lambda t: mutations.update(t.photos, F.col("id") == 7, {"description": F.lit("x")}).select("id", "description"), f"SELECT id, {_set('description', 7, chr(39) + 'x' + chr(39))} FROM photos")
 _add("g10_set_rotation", lambda t: mutations.set_rotation(t.photos, t.min_path(), -90).select("id", "user_rotation"), "SELECT id, CAST(CASE WHEN path = (SELECT min(path) FROM photos) THEN 270 ELSE user_rotation END AS INT) AS user_rotation FROM photos")
@@ -417,12 +419,17 @@ _add("g54_set_prompt", lambda t: mutations.set_prompt(t.directory_prompts.withCo
 _add("h2_conformed", lambda t: schema.conform(t.incoming_photos, "photos").select("id", "exif_orientation", "user_rotation", "taken_at"), "SELECT id, 1 AS exif_orientation, 0 AS user_rotation, NULL::VARCHAR AS taken_at FROM incoming_photos")
 _add("h6_rescan", lambda t: pipelines.files_to_rescan(pipelines.detect_changes(t.incoming_photos.select("path", F.lit("2019-01-01 00:00:00").cast("timestamp").alias("mtime")).distinct(), t.photos)), "SELECT DISTINCT path FROM incoming_photos WHERE path NOT IN (SELECT path FROM photos)")
 _add("h8_trash_names", lambda t: t.photos.select("id", pipelines.trash_name(F.col("filename"), 1_700_000_000, F.col("id")).alias("name")), "SELECT id, regexp_replace(filename, '(.)\\.[^.]*$', '\\1') || '_1700000000_' || id || regexp_extract(filename, '.(\\.[^.]*)$', 1) AS name FROM photos")
-_add("h14_overdue_selected", lambda t: lookups.overdue(t.scheduled_tasks, NOW).where("id <= 100").select("id"), f"SELECT id FROM scheduled_tasks WHERE status = 'pending' AND scheduled_at < '{NOW}' AND id <= 100")
+_add("h14_overdue_count", lambda t: relations.count(lookups.overdue(t.scheduled_tasks, NOW)), f"SELECT count(*) AS n FROM scheduled_tasks WHERE status = 'pending' AND scheduled_at < '{NOW}'")
 _add("i4_filename_parts", lambda t: pipelines.filename_parts(t.photos).select("id", "p_date", "p_ext", "p_stem"), "SELECT id, CASE WHEN regexp_full_match(taken_at, '\\d{4}[-:]\\d{2}[-:]\\d{2} \\d{2}:\\d{2}:\\d{2}') THEN strftime(try_strptime(taken_at, ['%Y-%m-%d %H:%M:%S', '%Y:%m:%d %H:%M:%S']), '%Y%m%d') END AS p_date, coalesce(nullif(lower(regexp_extract(path, '\\.([^./]+)$', 1)), ''), 'jpg') AS p_ext, regexp_replace(filename, '(.)\\.[^.]*$', '\\1') AS p_stem FROM photos")
-_add("i5_filenames", lambda t: pipelines.filename_parts(t.photos).select("id", pipelines.render_filename(F.lit(1)).alias("name")))
+_STAMP = "CASE WHEN regexp_full_match(taken_at, '\\d{4}[-:]\\d{2}[-:]\\d{2} \\d{2}:\\d{2}:\\d{2}') THEN strftime(try_strptime(taken_at, ['%Y-%m-%d %H:%M:%S', '%Y:%m:%d %H:%M:%S']), '%Y%m%d-%H%M') END"
+_add("i5_filenames", lambda t: pipelines.filename_parts(t.photos).select("id", pipelines.render_filename(F.lit(1)).alias("name")), f"""WITH a AS (SELECT id, {_STAMP} AS stamp, coalesce({_CHAIN('tags')}, {_CHAIN('description')}) AS event, array_to_string(list_filter(regexp_split_to_array(split_part(description, '.', 1), '\\s+'), lambda x: x <> '')[1:4], ' ') AS words, regexp_replace(filename, '(.)\\.[^.]*$', '\\1') AS stem, coalesce(nullif(lower(regexp_extract(path, '\\.([^./]+)$', 1)), ''), 'jpg') AS ext FROM photos),
+ b AS (SELECT *, list_filter([stamp, event, {_SANE('words')}], lambda x: x IS NOT NULL AND x <> '') AS parts FROM a),
+ c AS (SELECT *, array_to_string(CASE WHEN len(parts) = 0 OR (len(parts) = 1 AND stamp IS NULL) THEN ['{X.NO_CATEGORY}', {_SANE('stem')}] ELSE parts END, '_') || '_001' AS name, 99 - length(ext) AS room FROM b)
+ SELECT id, CASE WHEN length(name) > room THEN regexp_replace(substr(name, 1, room), '[_-]+$', '') ELSE name END || '.' || ext AS name FROM c""")
 _add("j1_ranks", lambda t: pipelines.gallery_ranks(t.photos), "SELECT id, row_number() OVER (ORDER BY filename NULLS FIRST, id) AS name_rank, row_number() OVER (ORDER BY modified_at DESC NULLS LAST, id) AS date_rank, row_number() OVER (ORDER BY size_bytes DESC NULLS LAST, id) AS size_rank FROM photos")
 _add("j8_paste", lambda t: t.incoming_photos.select(X.basename(F.col("path")).alias("filename")).distinct().join(t.photos.select("filename"), "filename", "left_anti"), "SELECT DISTINCT regexp_extract(path, '([^/]*)$', 1) AS filename FROM incoming_photos WHERE regexp_extract(path, '([^/]*)$', 1) NOT IN (SELECT filename FROM photos)")
 _add("l2_prompts", lambda t: t.photos.join(t.directory_prompts, "directory", "left").select("id", pipelines.prompt(F.lit("Describe."), F.col("custom_prompt")).alias("prompt")), "SELECT p.id, CASE WHEN d.custom_prompt <> '' THEN 'Context: ' || d.custom_prompt || chr(10) || chr(10) || 'Describe.' ELSE 'Describe.' END AS prompt FROM photos p LEFT JOIN directory_prompts d ON d.directory = p.directory")
 _add("b6_copy_missing", lambda t: exports.copy_missing(t.photos.select("id"), t.photos.where("is_favorite").select("id"), ["id"]), "SELECT id FROM photos WHERE NOT coalesce(is_favorite, false)")
-_add("b7_watermarks", lambda t: t.photos.agg(F.max("id").alias("top")), "SELECT max(id) AS top FROM photos")
+_TOPS = ["photos", "people", "faces", "face_clusters", "similarity_groups", "user_tags", "albums", "scheduled_tasks"]
+_add("b7_watermarks", lambda t: reduce(DataFrame.unionByName, [getattr(t, n).agg(F.max("id").alias("top")).select(F.lit(n).alias("table_name"), "top") for n in _TOPS]), " UNION ALL ".join(f"SELECT '{n}' AS table_name, max(id) AS top FROM {n}" for n in _TOPS))
 _add("b2_json_rows", lambda t: lookups.export_rows(t.photos).select("path", F.to_json(F.struct(*lookups.EXPORT), {"ignoreNullFields": "false"}).alias("line")), "SELECT path, '{' || concat_ws(',', " + ", ".join(f"'\"{c}\":' || " + (f"coalesce(CAST({c} AS VARCHAR), 'null')" if c in ("size_bytes", "width", "height") else f"coalesce(CAST(to_json({BASE if c == 'filename' else c}) AS VARCHAR), 'null')") for c in lookups.EXPORT) + ") || '}' AS line FROM photos")
