@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heliograph.functions import exprs as X
+from heliograph.runtime import cut
 
 #: Seconds by which a file must be newer than its row to count as modified.
 TOLERANCE_S = 2
+#: Positions of a block of ``_running``.
+BLOCK = 100_000
 
 
 def detect_changes(listing: DataFrame, photos: DataFrame) -> DataFrame:
@@ -86,28 +90,48 @@ def render_filename(count: Column, longest: int = 100) -> Column:
     return F.concat(cut, F.lit("."), F.col("p_ext"))
 
 
+def _running(df: DataFrame, by: str, order: str, value: Column, fold, backwards: bool = False) -> DataFrame:
+    """``df`` with ``running``: ``fold`` of ``value`` over the rows of ``by`` up to each one in ``order`` (from it on, if backwards).
+
+    Folded within blocks of positions and over the blocks, so that a key that holds most rows is never sorted in one task.
+    """
+    blocked = df.withColumns({"_b": F.floor(F.col(order) / BLOCK), "_v": value})
+    direction = (lambda c: F.desc(c)) if backwards else F.asc
+    within = fold("_v").over(W.partitionBy(by, "_b").orderBy(direction(order)).rowsBetween(W.unboundedPreceding, W.currentRow))
+    totals = blocked.groupBy(by, "_b").agg(fold("_v").alias("_t"))
+    before = totals.select(by, "_b", fold("_t").over(W.partitionBy(by).orderBy(direction("_b")).rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    both = blocked.withColumn("_own", within).join(before, [by, "_b"])
+    pair = F.array_compact(F.array("_own", "_before"))
+    return both.withColumn("running", F.aggregate(pair, F.lit(0).cast("bigint"), lambda x, y: x + y) if fold is F.sum else F.array_min(pair)).drop("_b", "_v", "_own", "_before")
+
+
 def organise(photos: DataFrame, root: str, longest: int = 100) -> DataFrame:
     """(id, path, destination) of a dry run: files get dated names in dated folders, and a counter on conflict.
 
     Within a folder files come in order of path. The counter is a high-water mark: it starts at 1, is shared by the folder
-    and rises only when a planned name is taken. A folder that holds a third of the library is one task of names only.
+    and rises only when a planned name is taken. So a folder falls into runs of different names, and a run ends where a name
+    first recurs in it. Where a run that began at a position would end is the least next occurrence of a name from there on;
+    following those ends by pointer doubling marks the runs, and the counter is the number of the run.
     """
+    from heliograph.catalog import assign_ids
+
     parts = filename_parts(photos).withColumn("folder", X.destination_folder(F.lit(root), F.col("taken_at"))).where(~X.under(F.col("path"), root))
-    named = parts.withColumn("name1", render_filename(F.lit(1), longest)).select("id", "path", "folder", "name1", "p_ext")
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, counter, out = set(), 1, []
-        for r in pdf.sort_values("path").itertuples():
-            make = lambda n, r=r: f"{r.folder}/{r.name1[: -len(r.p_ext) - 4]}{n:03d}.{r.p_ext}"
-            name = make(counter)
-            while name in taken:
-                counter += 1
-                name = make(counter)
-            taken.add(name)
-            out.append((r.id, r.path, name))
-        return pd.DataFrame(out, columns=["id", "path", "destination"])
-
-    return named.groupBy("folder").applyInPandas(number, "id bigint, path string, destination string")
+    named = parts.withColumn("name1", render_filename(F.lit(1), longest)).select("id", "path", "folder", "p_ext", F.expr("substring(name1, 1, length(name1) - length(p_ext) - 4)").alias("base"))
+    placed = cut(assign_ids(named, named.where(F.lit(False)).select(F.lit(0).cast("bigint").alias("pos")), ["folder", "path"], "pos"))
+    again = placed.withColumn("next", F.lead("pos").over(W.partitionBy("folder", "base", "p_ext").orderBy("pos"))).select("folder", "pos", "next")
+    ends = _running(again, "folder", "pos", F.col("next"), F.min, backwards=True).where("running IS NOT NULL").select("pos", F.col("running").alias("to"))
+    jump = cut(ends)
+    reached = cut(placed.groupBy("folder").agg(F.min("pos").alias("pos")).select("pos"))
+    begun = [reached]
+    while True:
+        more = cut(reduce(DataFrame.unionByName, begun).join(jump, "pos").select(F.col("to").alias("pos")).distinct())
+        if more.isEmpty():
+            break
+        begun.append(more)
+        jump = cut(jump.join(jump.select(F.col("pos").alias("to"), F.col("to").alias("further")), "to").select("pos", F.col("further").alias("to")))
+    starts = reduce(DataFrame.unionByName, begun).distinct().withColumn("start", F.lit(1).cast("bigint"))
+    counted = _running(placed.join(starts, "pos", "left"), "folder", "pos", F.coalesce("start", F.lit(0).cast("bigint")), F.sum)
+    return counted.select("id", "path", F.concat("folder", F.lit("/"), "base", F.format_string("%03d", "running"), F.lit("."), "p_ext").alias("destination"))
 
 
 def rename_plan(files: DataFrame, template: str) -> DataFrame:

@@ -340,7 +340,6 @@ _CHAIN = lambda c: "CASE " + " ".join(f"WHEN contains(lower({c}), '{w}') THEN '{
 _add("i2_event", lambda t: t.photos.select("id", X.event(F.col("tags"), F.col("description")).alias("event")), f"SELECT id, coalesce({_CHAIN('tags')}, {_CHAIN('description')}) AS event FROM photos")
 _add("i3_brief", lambda t: t.photos.select("id", X.brief(F.col("description")).alias("brief")), f"SELECT id, nullif({_SANE(chr(97) + '')}, '') AS brief FROM (SELECT id, array_to_string(list_filter(regexp_split_to_array(split_part(description, '.', 1), '\\s+'), lambda x: x <> '')[1:4], ' ') AS a FROM photos)")
 _add("i6_folder", lambda t: t.photos.select("id", X.destination_folder(F.lit("/library"), F.col("taken_at")).alias("folder")), "SELECT id, concat('/library/', CASE WHEN try_strptime(taken_at, ['%Y-%m-%d %H:%M:%S', '%Y:%m:%d %H:%M:%S']) IS NOT NULL AND regexp_full_match(taken_at, '\\d{4}[-:]\\d{2}[-:]\\d{2} \\d{2}:\\d{2}:\\d{2}') THEN strftime(try_strptime(taken_at, ['%Y-%m-%d %H:%M:%S', '%Y:%m:%d %H:%M:%S']), '%Y/%m') ELSE 'unknown' END) AS folder FROM photos")
-_add("i7_organise", lambda t: pipelines.organise(t.photos, "/library"))
 _add("j2_suggest_tags", lambda t: lookups.suggest_tags(t.user_tags, t.least("user_tags", "name").strip()[:2].upper()), "SELECT id, name FROM user_tags WHERE contains(lower(name), lower(substr(trim((SELECT min(name) FROM user_tags)), 1, 2)))")
 _add("j3_rename", lambda t: pipelines.rename_plan(t.photos.select("path", "filename", F.lit(1_000_000_000).alias("mtime_s")), "{date}_{counter}_{name}.{ext}"), "SELECT path, '20010920_' || printf('%03d', row_number() OVER (ORDER BY path)) || '_' || regexp_replace(filename, '(.)\\.[^.]*$', '\\1') || '.' || lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS new_name FROM photos")
 _add("j4_rename_conflicts", lambda t: pipelines.rename_conflicts(t.photos.select(F.lower("filename").alias("new_name")), t.photos), "SELECT lower(filename) AS new_name, 'duplicate' AS kind FROM photos GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT lower(filename), 'exists' FROM photos WHERE lower(filename) IN (SELECT filename FROM photos)")
@@ -427,6 +426,15 @@ _add("i5_filenames", lambda t: pipelines.filename_parts(t.photos).select("id", p
  c AS (SELECT *, array_to_string(CASE WHEN len(parts) = 0 OR (len(parts) = 1 AND stamp IS NULL) THEN ['{X.NO_CATEGORY}', {_SANE('stem')}] ELSE parts END, '_') || '_001' AS name, 99 - length(ext) AS room FROM b)
  SELECT id, CASE WHEN length(name) > room THEN regexp_replace(substr(name, 1, room), '[_-]+$', '') ELSE name END || '.' || ext AS name FROM c""")
 _add("j1_ranks", lambda t: pipelines.gallery_ranks(t.photos), "SELECT id, row_number() OVER (ORDER BY filename NULLS FIRST, id) AS name_rank, row_number() OVER (ORDER BY modified_at DESC NULLS LAST, id) AS date_rank, row_number() OVER (ORDER BY size_bytes DESC NULLS LAST, id) AS size_rank FROM photos")
+_FOLDER = "concat('/library/', CASE WHEN try_strptime(taken_at, ['%Y-%m-%d %H:%M:%S', '%Y:%m:%d %H:%M:%S']) IS NOT NULL AND regexp_full_match(taken_at, '\\d{4}[-:]\\d{2}[-:]\\d{2} \\d{2}:\\d{2}:\\d{2}') THEN strftime(try_strptime(taken_at, ['%Y-%m-%d %H:%M:%S', '%Y:%m:%d %H:%M:%S']), '%Y/%m') ELSE 'unknown' END)"
+_add(
+    "i7_organise", lambda t: pipelines.organise(t.photos, "/library"),
+    f"""WITH RECURSIVE m AS ({ORACLE_SQL['i5_filenames']}),
+ o AS MATERIALIZED (SELECT p.id, path, {_FOLDER} AS folder, regexp_replace(name, '...\\.[^.]*$', '') AS base, regexp_extract(name, '\\.([^.]*)$', 1) AS ext, row_number() OVER (ORDER BY {_FOLDER}, path) AS i FROM photos p JOIN m ON m.id = p.id),
+ st(i, folder, counter, seen) AS (SELECT 0::BIGINT, '', 1, []::VARCHAR[] UNION ALL SELECT o.i, o.folder, CASE WHEN o.folder <> st.folder THEN 1 WHEN list_contains(st.seen, o.base || '.' || o.ext) THEN st.counter + 1 ELSE st.counter END,
+  CASE WHEN o.folder <> st.folder OR list_contains(st.seen, o.base || '.' || o.ext) THEN [o.base || '.' || o.ext] ELSE list_append(st.seen, o.base || '.' || o.ext) END FROM st JOIN o ON o.i = st.i + 1)
+ SELECT o.id, o.path, o.folder || '/' || o.base || printf('%03d', counter) || '.' || o.ext AS destination FROM o JOIN st ON st.i = o.i""",
+)
 _add("j8_paste", lambda t: t.incoming_photos.select(X.basename(F.col("path")).alias("filename")).distinct().join(t.photos.select("filename"), "filename", "left_anti"), "SELECT DISTINCT regexp_extract(path, '([^/]*)$', 1) AS filename FROM incoming_photos WHERE regexp_extract(path, '([^/]*)$', 1) NOT IN (SELECT filename FROM photos)")
 _add("l2_prompts", lambda t: t.photos.join(t.directory_prompts, "directory", "left").select("id", pipelines.prompt(F.lit("Describe."), F.col("custom_prompt")).alias("prompt")), "SELECT p.id, CASE WHEN d.custom_prompt <> '' THEN 'Context: ' || d.custom_prompt || chr(10) || chr(10) || 'Describe.' ELSE 'Describe.' END AS prompt FROM photos p LEFT JOIN directory_prompts d ON d.directory = p.directory")
 _add("b6_copy_missing", lambda t: exports.copy_missing(t.photos.select("id"), t.photos.where("is_favorite").select("id"), ["id"]), "SELECT id FROM photos WHERE NOT coalesce(is_favorite, false)")
