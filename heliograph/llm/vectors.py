@@ -35,6 +35,8 @@ BLOCK = 1024
 GROUP = 65_536
 #: Vectors that order the blocks, at most; they are a sample, but every vector is placed by them.
 PIVOTS = 256
+#: Distance from their pivot up to which vectors form blocks of their own, by pivot, so that tiles can be skipped.
+TIGHT = 0.75
 #: Share of a tile's pairs above which it is computed again as a whole rather than pair by pair.
 DENSE = 0.02
 #: Candidates that a task's heaps take in before they are pruned.
@@ -168,8 +170,15 @@ class _Side:
 
     def __init__(self, ids: np.ndarray, u: np.ndarray, pivot: np.ndarray) -> None:
         order = np.lexsort((ids, pivot))
+        # a block for each tight cell of enough vectors, so that its tiles may be skipped, and blocks of all others
+        cells, sizes = np.unique(pivot[order], return_counts=True)
+        own = np.isin(pivot[order], cells[(cells < PIVOTS) & (sizes >= BLOCK // 4)])
+        order = np.r_[order[own], order[~own]]
         self.ids, self.u = ids[order], u[order]
-        self.blocks = [slice(s, min(len(ids), s + BLOCK)) for s in range(0, len(ids), BLOCK)]
+        cuts = np.flatnonzero(np.diff(pivot[order][: own.sum()])) + 1
+        starts = sorted({*(cuts.tolist() if own.any() else []), *([0] if len(ids) else []), *([int(own.sum())] if not own.all() else [])})
+        runs = zip(starts, [*starts[1:], len(ids)], strict=True)
+        self.blocks = [slice(s, min(stop, s + BLOCK)) for start, stop in runs for s in range(start, stop, BLOCK)]
         self.scales = [max(float(np.abs(self.u[b]).max()), 1e-30) / 127 for b in self.blocks]
         self.codes = np.empty(self.u.shape, np.int8)
         self.errors, self.norms, self.centres, self.radii = [], [], [], []
@@ -179,23 +188,28 @@ class _Side:
             self.norms.append(float(np.linalg.norm(self.u[b], axis=1).max()))
             self.centres.append(self.u[b].mean(axis=0))
             self.radii.append(float(np.linalg.norm(self.u[b] - self.centres[-1], axis=1).max()))
+        self.centres = np.array(self.centres, np.float64).reshape(len(self.blocks), -1)
 
 
 def _tiles(a: _Side, b: _Side, same: bool, least: float, k: int, digits: int) -> tuple[_Heaps, _Heaps]:
     left = _Heaps(len(a.ids), k, least)
     right = left if same else _Heaps(len(b.ids), k, least)
+    norms, radii = np.array(b.norms), np.array(b.radii)
     for i, rows in enumerate(a.blocks):
         codes = a.codes[rows].astype(np.float32)
-        for j, columns in enumerate(b.blocks):
+        gaps = np.maximum(0.0, np.linalg.norm(b.centres - a.centres[i], axis=1) - a.radii[i] - radii)
+        within = (a.norms[i] ** 2 + norms**2 - gaps**2) / 2 >= least - 1e-6
+        for j in np.flatnonzero(within).tolist():
             if same and j < i:
                 continue
-            gap = max(0.0, float(np.linalg.norm(a.centres[i] - b.centres[j])) - a.radii[i] - b.radii[j])
-            if (a.norms[i] ** 2 + b.norms[j] ** 2 - gap * gap) / 2 < least - 1e-6:
-                continue
+            columns = b.blocks[j]
             product = codes @ b.codes[columns].astype(np.float32).T  # whole numbers, exact
             slack = a.errors[i] * b.norms[j] + b.errors[j] * (a.norms[i] + a.errors[i]) + 2e-6
             scale = a.scales[i] * b.scales[j]
-            x, y = np.nonzero(product >= math.floor((least - slack) / scale))
+            bound = math.floor((least - slack) / scale)
+            if product.max() < bound:
+                continue
+            x, y = np.divmod(np.flatnonzero(product.ravel() >= bound), product.shape[1])
             if same and i == j:
                 x, y = x[x < y], y[x < y]
             if not len(x):
@@ -205,8 +219,16 @@ def _tiles(a: _Side, b: _Side, same: bool, least: float, k: int, digits: int) ->
             open_ = (sure >= left.floor[x]) | (sure >= right.floor[y])
             x, y = x[open_], y[open_]
             if len(x) > DENSE * product.size:
-                whole = a.u[rows].astype(np.float64) @ b.u[columns].astype(np.float64).T
-                value = whole[x - rows.start, y - columns.start]
+                whole = np.round(a.u[rows].astype(np.float64) @ b.u[columns].astype(np.float64).T, digits)
+                if same and i == j:
+                    np.fill_diagonal(whole, -np.inf)
+                # only the k best of the tile for each vector, and what ties with them, may enter its heap
+                ways = [(left, b.ids, whole, rows.start, columns.start), (right, a.ids, whole.T, columns.start, rows.start)]
+                for heap, ids, table, first, other in ways[: 1 if same and i == j else 2]:
+                    best = np.partition(table, -min(k, table.shape[1]), axis=1)[:, -min(k, table.shape[1])]
+                    x, y = np.nonzero(table >= np.maximum(best, least)[:, None])
+                    heap.push(x + first, table[x, y], ids[y + other])
+                continue
             else:
                 value = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", a.u[x[s : s + 65536]], b.u[y[s : s + 65536]], dtype=np.float64) for s in range(0, len(x), 65536))])
             value = np.round(value, digits)
@@ -241,7 +263,8 @@ def similar_pairs(rows: DataFrame, least: float, k: int, dimensions: int = DIMEN
         tasks += len({(min(g, h), max(g, h)) for *_, g, h in targets})
         sent = small(spark.createDataFrame(targets, "pivot int, part int, parts int, g int, h int"), 500_000)
         dealt = own.join(sent, "pivot").where(F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")) == F.col("part"))
-        parts.append(dealt.select(F.lit(kind).alias("kind"), "id", "u", "pivot", "g", "h"))
+        cell = F.when(F.col("far") <= TIGHT, F.col("pivot")).otherwise(F.col("pivot") + PIVOTS).alias("pivot")
+        parts.append(dealt.select(F.lit(kind).alias("kind"), "id", "u", cell, "g", "h"))
     if not parts:
         return spark.createDataFrame([], "kind string, id bigint, partner bigint, value double")
     copies = reduce(DataFrame.unionByName, parts)
@@ -285,6 +308,7 @@ def neighbours(vectors: DataFrame, least: float, k: int, dimensions: int = DIMEN
         held = own if held is None else held.unionByName(own)
     if held is None:
         return vectors.sparkSession.createDataFrame([], "kind string, id_a bigint, id_b bigint")
+    held = cut(held)
     # copies are found by a 128-bit digest, so that the vectors themselves are shuffled only once, to the tiles
     marks = cut(held.select("kind", "id", F.unhex(F.md5("u")).alias("h")).distinct())
     members = marks.groupBy("kind", "id").agg(F.min("h").alias("h"))
