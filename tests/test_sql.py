@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 ROOT = "/root/testdata/sf0.001"
-NAMES = ["c7_metadata", "c8_rotation", "e11_exact_duplicates", "e12_smart_albums", "f5_word_search", "f10_keep_best", "f15_leader_clusters", "g22_find_or_create", "h5_changes", "h7_retention", "p6_found"]
+NAMES = ["c7_metadata", "c8_rotation", "e11_exact_duplicates", "e12_smart_albums", "f5_word_search", "f10_keep_best", "f15_leader_clusters", "g22_find_or_create", "h5_changes", "h7_retention", "p6_found", "p6_near", "f7_perceptual_groups", "f8_duplicate_report", "d12_similar_hashes", "j3_rename", "i5_filenames", "i7_organise", "f18_suppress_boxes", "b2_json_rows", "b4_html", "c12_old_trashed"]
 
 
 @pytest.fixture(scope="module")
