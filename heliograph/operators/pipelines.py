@@ -38,14 +38,15 @@ def scan_actions(scanned: DataFrame, photos: DataFrame) -> DataFrame:
     return scanned.select("path").join(known, "path", "left").withColumn("action", F.coalesce("action", F.lit("insert")))
 
 
-def retention(files: DataFrame, now_s: int, max_age_s: int, max_bytes: int) -> DataFrame:
+def retention(files: DataFrame, now_s: int, max_age_s: int, max_bytes: int, partitions: int | None = None) -> DataFrame:
     """The files to delete: those older than ``max_age_s``, then the oldest while the rest exceeds ``max_bytes``.
 
     ``files``: path, mtime_s, size. Running totals come in two steps, within ranges of age and over the ranges' sums, so the
     whole trash is never sorted in one task. The ranges are written before they are counted: a second run may draw others.
     """
     aged = files.withColumn("expired", F.col("mtime_s") < now_s - max_age_s)
-    kept = cut(aged.where("NOT expired").repartitionByRange("mtime_s", "path").withColumn("_p", F.spark_partition_id()))
+    ranges = ["mtime_s", "path"] if partitions is None else [partitions, "mtime_s", "path"]
+    kept = cut(aged.where("NOT expired").repartitionByRange(*ranges).withColumn("_p", F.spark_partition_id()))
     sums = kept.groupBy("_p").agg(F.sum("size").alias("_s"))
     offsets = sums.select("_p", (F.sum("_s").over(W.orderBy("_p")) - F.col("_s")).alias("_before"))  # one row a range
     total = sums.agg(F.coalesce(F.sum("_s"), F.lit(0)).alias("_total"))
