@@ -147,7 +147,7 @@ def cluster(vectors: DataFrame, least: float = LEAST, dimensions: int = DIMENSIO
             parents.append(last.where("id != head").select(F.col("id").alias("gone"), "head"))
             done.append(last.where("id = head").select("id", "n", "u"))
             break
-        graph = cut(similar_pairs(nodes.select(F.lit("").alias("kind"), "id", "u"), least, PARTNERS, dimensions, digits=DIGITS).select("id", "partner", "value"))
+        graph = similar_pairs(nodes.select(F.lit("").alias("kind"), "id", "u"), least, PARTNERS, dimensions, digits=DIGITS).select("id", "partner", "value")
         release(spark)
         linked = cut_small(graph.select(F.inline(F.array(F.struct("id"), F.struct(F.col("partner").alias("id"))))).distinct(), SENT)
         done.append(nodes.join(linked, "id", "left_anti"))  # without a partner now, without one for ever

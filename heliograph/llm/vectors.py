@@ -1,9 +1,10 @@
 """Most similar vectors by a block matrix join.
 
-Vectors are normalised, placed at their nearest pivot and dealt into groups of bounded size, pivot by pivot; each pair of
-groups is one task. A vector is sent only to groups that hold a pivot's cell within reach of its own, by the cells' radii and
-the least similarity. A task sorts its vectors by pivot, cuts them into blocks, and goes through the tiles, the pairs of
-blocks. A tile is skipped when the blocks' centres and radii prove that no pair in it reaches the least similarity. Otherwise
+Vectors are normalised, placed at their nearest pivot and dealt into groups of bounded size, pivot by pivot. The groups are
+written once, as files beside the checkpoints; a task reads those of one pair of groups after the other, so the disk holds
+each vector as often whatever the number of groups. Pairs of groups of which no cells are within reach of each other, by the
+cells' radii and the least similarity, are no tasks. A task sorts a group by pivot, cuts it into blocks, and goes through the
+tiles, the pairs of blocks. A tile is skipped when the blocks' centres and radii prove that no pair in it reaches the least similarity. Otherwise
 the vectors' int8 codes, which have one scale a block, are multiplied. The products are whole numbers below 2^24, so float32
 holds them exactly and a fast matrix product may be used; with the quantisation error's bound they give a bound on each
 similarity. Only pairs that the bound cannot rule out, against the least similarity and against the best found so far, are
@@ -17,22 +18,29 @@ the codes, blocks and bounds only make each tile cheap.
 from __future__ import annotations
 
 import math
+import re
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heliograph.runtime import cut, small
+from heliograph.runtime import cut, ensure_checkpoint_dir, release, small
 
 DIMENSIONS = 128
 #: Vectors of one side of a tile.
 BLOCK = 1024
-#: Vectors of one side of a task at most, about: 34 MB of floats. Each vector goes to as many tasks as there are groups.
+#: Vectors of one side of a task at most, about: 34 MB of floats. Each vector is read by as many tasks as there are groups.
 GROUP = 65_536
+#: Groups that a task compares with one at most, and tasks from which on it compares more than one.
+STRIP, TASKS = 8, 256
+#: Rows of ids and digests up to which they are sent to the vectors, so that these need not move.
+SENT = 500_000
 #: Vectors that order the blocks, at most; they are a sample, but every vector is placed by them.
 PIVOTS = 256
 #: Distance from their pivot up to which vectors form blocks of their own, by pivot, so that tiles can be skipped.
@@ -191,8 +199,9 @@ class _Side:
         self.centres = np.array(self.centres, np.float64).reshape(len(self.blocks), -1)
 
 
-def _tiles(a: _Side, b: _Side, same: bool, least: float, k: int, digits: int) -> tuple[_Heaps, _Heaps]:
-    left = _Heaps(len(a.ids), k, least)
+def _tiles(a: _Side, b: _Side, same: bool, least: float, k: int, digits: int, left: _Heaps | None = None) -> tuple[_Heaps, _Heaps]:
+    """The heaps of both sides; ``left`` are those that the first side has from other groups."""
+    left = left or _Heaps(len(a.ids), k, least)
     right = left if same else _Heaps(len(b.ids), k, least)
     norms, radii = np.array(b.norms), np.array(b.radii)
     for i, rows in enumerate(a.blocks):
@@ -252,44 +261,67 @@ def similar_pairs(rows: DataFrame, least: float, k: int, dimensions: int = DIMEN
     """
     spark = rows.sparkSession
     counts = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # as many as kinds
-    parts, tasks = [], 0
-    for kind, n in counts.items():
-        own = rows.where(F.col("kind") == kind).drop("kind")
-        centres = pivots_of(own, pivots=PIVOTS, dimensions=dimensions)
-        own = nearest_pivot(own, centres, dimensions)
-        cells = own.groupBy("pivot").agg(F.count("*"), F.max("far"), F.max("norm")).orderBy("pivot").collect()  # at most one a pivot
-        groups = _groups(n, group)
-        targets = _targets([tuple(c) for c in cells], centres, groups, least)
-        tasks += len({(min(g, h), max(g, h)) for *_, g, h in targets})
-        sent = small(spark.createDataFrame(targets, "pivot int, part int, parts int, g int, h int"), 500_000)
-        dealt = own.join(sent, "pivot").where(F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")) == F.col("part"))
-        cell = F.when(F.col("far") <= TIGHT, F.col("pivot")).otherwise(F.col("pivot") + PIVOTS).alias("pivot")
-        parts.append(dealt.select(F.lit(kind).alias("kind"), "id", "u", cell, "g", "h"))
-    if not parts:
-        return spark.createDataFrame([], "kind string, id bigint, partner bigint, value double")
-    copies = reduce(DataFrame.unionByName, parts)
-
-    def task(table: pa.Table) -> pa.Table:
-        kind, lo, hi = table.column("kind")[0], table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        g, ids, pivot = (table.column(c).to_numpy() for c in ("g", "id", "pivot"))
-        u = floats(table.column("u"), dimensions)
-
-        def side(which: int) -> _Side:
-            at = np.flatnonzero(g == which)
-            at = at[np.unique(ids[at], return_index=True)[1]]  # a repeated row of one id is the same vector
-            return _Side(ids[at], u[at], pivot[at])
-
-        a = side(lo)
-        b = a if lo == hi else side(hi)
-        out = [(s.ids[at], partner, value) for s, (at, value, partner) in zip((a, b), (h.prune() for h in _tiles(a, b, a is b, least, k, digits)), strict=True)][: 1 if a is b else 2]
-        ids, partners, values = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"kind": pa.array([kind.as_py()] * len(ids), pa.string()), "id": ids, "partner": partners, "value": values})
-
-    keyed = copies.select("kind", "id", "u", "pivot", "g", F.least("g", "h").alias("lo"), F.greatest("g", "h").alias("hi"))
-    # one task a shuffle partition, since each is heavy
-    found = keyed.repartition(max(2 * tasks, 8), "kind", "lo", "hi").groupBy("kind", "lo", "hi").applyInArrow(task, "kind string, id bigint, partner bigint, value double")
-    best = W.partitionBy("kind", "id").orderBy(F.desc("value"), "partner")
-    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    folder = f"{ensure_checkpoint_dir(spark)}/groups-{uuid.uuid4().hex}"
+    strips: list[tuple[int, str, int, list[int]]] = []
+    try:
+        for number, (kind, n) in enumerate(counts.items()):
+            own = rows.where(F.col("kind") == kind).drop("kind")
+            centres = pivots_of(own, pivots=PIVOTS, dimensions=dimensions)
+            own = nearest_pivot(own, centres, dimensions)
+            cells = own.groupBy("pivot").agg(F.count("*"), F.max("far"), F.max("norm")).orderBy("pivot").collect()  # at most one a pivot
+            groups = _groups(n, group)
+            targets = _targets([tuple(c) for c in cells], centres, groups, least)
+            slots = small(spark.createDataFrame(sorted({t[:4] for t in targets}), "pivot int, part int, parts int, g int"), SENT)
+            dealt = own.join(slots, "pivot").where(F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")) == F.col("part"))
+            cell = F.when(F.col("far") <= TIGHT, F.col("pivot")).otherwise(F.col("pivot") + PIVOTS).alias("pivot")
+            dealt.select("id", "u", cell, "g").repartition(max(2 * groups, 8), "g").write.partitionBy("g").parquet(f"{folder}/{number}")
+            release(spark)  # the shuffle that the files were written from
+            reach: dict[int, set[int]] = {}
+            for *_, g, h in targets:
+                reach.setdefault(min(g, h), set()).add(max(g, h))
+            length = max(1, min(STRIP, sum(map(len, reach.values())) // TASKS))
+            strips += [(number, kind, lo, sorted(his)[at : at + length]) for lo, his in reach.items() for at in range(0, len(his), length)]
+        if not strips:
+            return spark.createDataFrame([], "kind string, id bigint, partner bigint, value double")
+        todo = spark.createDataFrame(strips, "number int, kind string, lo int, his array<int>").coalesce(1).repartition(len(strips))
+        found = todo.mapInArrow(_compare(folder, least, k, dimensions, digits), "kind string, id bigint, partner bigint, value double")
+        best = W.partitionBy("kind", "id").orderBy(F.desc("value"), "partner")
+        return cut(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"))
+    finally:
+        written = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        written.getFileSystem(spark._jsc.hadoopConfiguration()).delete(written, True)
+
+
+def _compare(folder: str, least: float, k: int, dimensions: int, digits: int):
+    """The function of (number, kind, lo, his): the k best of group ``lo`` in the groups ``his``, and of these in ``lo``."""
+
+    def side(number: int, g: int) -> _Side | None:
+        held, path = fs.FileSystem.from_uri(re.sub("^(file:)?/+", "file:///", f"{folder}/{number}/g={g}"))
+        if held.get_file_info(path).type == fs.FileType.NotFound:
+            return None
+        table = ds.dataset(path, filesystem=held, format="parquet").to_table(["id", "u", "pivot"], use_threads=False)
+        ids, pivot, u = table.column("id").to_numpy(), table.column("pivot").to_numpy(), floats(table.column("u"), dimensions)
+        at = np.unique(ids, return_index=True)[1]  # a repeated row of one id is the same vector
+        return _Side(ids[at], u[at], pivot[at])
+
+    def best(kind: str, own: _Side, heaps: _Heaps) -> pa.RecordBatch:
+        at, value, partner = heaps.prune()
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(own.ids[at]), pa.array(partner), pa.array(value)], names=["kind", "id", "partner", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, left = side(row["number"], row["lo"]), None
+                for hi in row["his"] if a else ():
+                    b = a if hi == row["lo"] else side(row["number"], hi)
+                    if b:
+                        left, right = _tiles(a, b, a is b, least, k, digits, left)
+                        if a is not b:
+                            yield best(row["kind"], b, right)
+                if left:
+                    yield best(row["kind"], a, left)
+
+    return run
 
 
 def neighbours(vectors: DataFrame, least: float, k: int, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -314,9 +346,16 @@ def neighbours(vectors: DataFrame, least: float, k: int, dimensions: int = DIMEN
     members = marks.groupBy("kind", "id").agg(F.min("h").alias("h"))
     classes = cut(members.groupBy("kind", "h").agg(F.min("id").alias("lead"), F.count("*").alias("copies")))
     chosen = classes.select("kind", F.col("lead").alias("id"), "h")
-    others = small(cut(marks.join(chosen, ["kind", "id", "h"], "left_anti")))
-    distinct = held.withColumn("h", F.unhex(F.md5("u"))).join(others, ["kind", "id", "h"], "left_anti").select("kind", "id", "u")
-    found = cut(similar_pairs(distinct, least, k, dimensions))
+    others = cut(marks.join(chosen, ["kind", "id", "h"], "left_anti"))
+    # the shorter of the two lists is sent; where both are long the vectors move, once
+    few, how = min((others.count(), others, "left_anti"), (chosen.count(), chosen, "left_semi"), key=lambda x: x[0])[1:]
+    moves = few.count() > SENT
+    distinct = held.withColumn("h", F.unhex(F.md5("u"))).join(few.hint("shuffle_hash") if moves else small(few, SENT), ["kind", "id", "h"], how).select("kind", "id", "u")
+    if moves:
+        distinct = cut(distinct)
+        del held, own
+        release(vectors.sparkSession)
+    found = similar_pairs(distinct, least, k, dimensions)
     copied = classes.where("copies > 1").select("kind", "h", "lead")
     members = members.join(copied, ["kind", "h"]).select("kind", "lead", "id")
     # the k + 1 smallest ids of a class, chosen in two steps so that no task holds a large class

@@ -150,3 +150,22 @@ def test_cells_out_of_reach_are_not_sent():
     assert len(vectors._targets(wide, centres, 4, 0.8)) == 16
     parts = vectors._targets([(0, 90, 0.1, 1.0), (1, 10, 0.1, 1.0)], centres, 4, 0.8)
     assert {(p, part) for p, part, *_ in parts} == {(0, k) for k in range(4)} | {(1, 0)} and all((0, k, 4, g, h) in parts for k, g in ((r[1], r[3]) for r in parts if r[0] == 0) for h in {r[3] for r in parts if r[0] == 0})
+
+
+def test_vectors_move_once_whatever_the_number_of_groups(spark):
+    """400 vectors without neighbours in 20 groups; the shuffles hold each vector about once, not once a group."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(400, 128)).astype(np.float32)
+    rows = np.concatenate([rows, rows[:40] + np.float32(0.01)])
+    df = spark.createDataFrame([("a", k, r.tolist()) for k, r in enumerate(rows)], "kind string, id bigint, vector array<float>")
+    units = vectors.units(df, 128).selectExpr("'a' AS kind", "id", "u").localCheckpoint()
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    found = vectors.similar_pairs(units, 0.8, 5, 128, 22).collect()
+    assert {(r["id"], r["partner"]) for r in found} == {p for k in range(40) for p in ((k, 400 + k), (400 + k, k))}
+    assert written() - before < 3 * rows.nbytes
