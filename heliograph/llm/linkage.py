@@ -1,22 +1,18 @@
-"""Average-linkage clusters by merging reciprocal nearest neighbours in parallel.
+"""Average-linkage clusters by nearest-neighbour chains within components.
 
 A cluster is kept as its number of members and their mean unit vector; the mean cosine between the members of two clusters
-is the product of their means, so average linkage never needs the pairs. The block matrix join makes the sparse graph of
-every cluster's best partners among all others, at or above the least similarity. Clusters that are each other's best partner
-merge, all such pairs in a round, and rounds go on until no pair reaches the similarity.
-
-Merging reciprocal pairs gives the clusters of the sequential method, which merges the best pair of all first, since average
-linkage never brings a merged cluster closer to a third than its parts were. For the same reason clusters of different
-components of the graph never merge, so the rounds of a component run in one task. A component of more than ``PART``
-clusters is dealt into parts by nearest pivot, anew each time, which merge among themselves; then a new graph is made of what
-is left. Such a part does not see partners in other parts, so within those components the order of merging is not that of
-the sequential method. The graph ends the work: in the end no two clusters reach the similarity.
+is the product of their means, so average linkage never needs the pairs. The block matrix join finds the components of the
+graph of all pairs that reach the least similarity. Vectors of different components never merge, since every cosine between
+them, and so every mean of such cosines, is below it.
+
+A component of any size is clustered in one task. Merging clusters that are each other's best partner gives the clusters of
+the sequential method, which merges the best pair of all first, since average linkage never brings a merged cluster closer to
+a third than its parts were. A chain that steps from a cluster to its best partner ends at such a pair. The task holds the
+component's means, not its similarities; its time grows with the square of the component.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,16 +20,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heliograph.llm.components import core_components
-from heliograph.llm.vectors import DIMENSIONS, floats, nearest_pivot, pivots_of, similar_pairs, units
+from heliograph.llm.vectors import DIMENSIONS, SENT, floats, similar_pairs, units
 from heliograph.runtime import cut, cut_small, release
 
 LEAST = 0.7
-#: Clusters that one task merges among themselves, at most, about: 34 MB of similarities.
+#: The square root of the similarities that a task computes at once: 34 MB.
 PART = 2048
-#: Partners of a cluster in the sparse graph.
-PARTNERS = 4
-#: Rows of ids and numbers up to which they are sent to the vectors, so that these need not move.
-SENT = 500_000
 #: Decimals by which similarities are compared.
 DIGITS = 12
 
@@ -42,33 +34,44 @@ def merge_reciprocal(ids: np.ndarray, n: np.ndarray, mean: np.ndarray, least: fl
     """(head of each cluster, counts, means) after all rounds; the head is the smallest id and carries the merged figures."""
     order = np.argsort(ids)  # by id, so that ties go to the smaller one
     n, mean = n[order].astype(np.int64), mean[order].astype(np.float64)
-    total = mean * n[:, None]
-    s = np.round(mean @ mean.T, DIGITS)
-    np.fill_diagonal(s, -2)
-    head, at = np.arange(len(ids)), np.arange(len(ids))
-    alive = np.ones(len(ids), bool)
-    best = s.argmax(axis=1) if len(ids) else at
-    while True:
-        a = at[alive & (best[best] == at) & (at < best) & (s[at, best] >= least)]
-        if not len(a):
-            break
-        b = best[a]
-        w = (n[a] / (n[a] + n[b]))[:, None]
-        s[a] = w * s[a] + (1 - w) * s[b]
-        s[:, a] = w.T * s[:, a] + (1 - w.T) * s[:, b]
-        s[np.ix_(a, a)] = (s[np.ix_(a, a)] + s[np.ix_(a, a)].T) / 2
-        s[b], s[:, b], s[a, a] = -2, -2, -2
-        n[a] += n[b]
-        total[a] += total[b]
-        head[b], alive[b] = a, False
-        # a merged cluster comes no closer to others, so only those look again whose best partner merged
-        again = at[alive & (np.isin(best, a) | np.isin(best, b) | np.isin(at, a))]
-        best[again] = s[again].argmax(axis=1)
+    head, alive = np.arange(len(ids)), np.ones(len(ids), bool)
+    best, value = np.zeros(len(ids), np.int64), np.full(len(ids), -2.0)
+    rows = max(1, PART * PART // max(1, len(ids)))
+    for start in range(0, len(ids), rows):
+        s = np.round(mean[start : start + rows] @ mean.T, DIGITS)
+        own = np.arange(len(s))
+        s[own, own + start] = -2
+        best[start : start + rows] = s.argmax(axis=1)
+        value[start : start + rows] = s[own, best[start : start + rows]]
+    # a best partner holds until it merges, as no other comes closer by merging
+    merged, looked = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    clock = 0
+    for start in range(len(ids)):
+        chain = [start] if alive[start] else []
+        while chain:
+            x = chain[-1]
+            if merged[best[x]] > looked[x]:
+                s = np.round(mean @ mean[x], DIGITS)
+                s[~alive], s[x] = -2, -2
+                best[x] = s.argmax()
+                value[x], looked[x] = s[best[x]], clock
+            if value[x] < least:
+                break  # of the first only: from link to link values rise
+            if len(chain) == 1 or value[x] > value[chain[-2]] + 10.0 ** (1 - DIGITS):
+                chain.append(int(best[x]))
+                continue
+            a, b = sorted(chain[-2:])
+            chain[-2:] = []
+            mean[a] = (n[a] * mean[a] + n[b] * mean[b]) / (n[a] + n[b])
+            n[a] += n[b]
+            clock += 1
+            head[b], alive[b], merged[a], merged[b], looked[a], best[a] = a, False, clock, clock, -1, b
+            chain = chain or [a]
     while (head[head] != head).any():
         head = head[head]
     back = np.empty(len(ids), np.int64)
-    back[order] = at
-    return order[head[back]], n[back], (total[back] / n[back][:, None]).astype(np.float32)
+    back[order] = np.arange(len(ids))
+    return order[head[back]], n[back], mean[back].astype(np.float32)
 
 
 def _unique(vectors: DataFrame, dimensions: int) -> tuple[DataFrame, DataFrame]:
@@ -89,19 +92,8 @@ def _unique(vectors: DataFrame, dimensions: int) -> tuple[DataFrame, DataFrame]:
     return cut(once), member.select("id", "lead")
 
 
-def _roots(parents: DataFrame) -> DataFrame:
-    """(gone, head) with the last head of every chain of ``parents`` (gone, head), by pointer doubling."""
-    links = cut(parents)
-    while True:
-        above = links.select(F.col("gone").alias("head"), F.col("head").alias("further"))
-        step = cut(links.join(above, "head", "left").select("gone", F.coalesce("further", "head").alias("head"), F.col("further").isNotNull().alias("moved")))
-        links = step.select("gone", "head")
-        if step.where("moved").isEmpty():
-            return links
-
-
-def _merge_parts(nodes: DataFrame, keys: list[str], least: float, dimensions: int) -> DataFrame:
-    """(id, head, n, u) for ``nodes`` (id, n, u and the key columns): merged within each key; n and u are null for non-heads."""
+def _merge(nodes: DataFrame, least: float, dimensions: int) -> DataFrame:
+    """(id, head, n, u) for ``nodes`` (id, n, u, component): merged within each component; n and u are null for non-heads."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -111,22 +103,7 @@ def _merge_parts(nodes: DataFrame, keys: list[str], least: float, dimensions: in
             {"id": ids, "head": ids[head], "n": pa.array(n, mask=~own), "u": pa.array([m.tobytes() if o else None for m, o in zip(mean, own, strict=True)], pa.binary())}
         )
 
-    return nodes.groupBy(*keys).applyInArrow(run, "id bigint, head bigint, n bigint, u binary")
-
-
-def _dealt(nodes: DataFrame, parts: DataFrame, seed: int, dimensions: int) -> DataFrame:
-    """``nodes`` (id, n, u) with the component of ``parts``, and ``part`` and ``salt``, which split those of more than ``PART``."""
-    placed = nodes.join(parts, "id").select("id", "n", "u", "component")
-    big = cut_small(parts.groupBy("component").agg(F.count("*").alias("c")).where(F.col("c") > PART))
-    if big.isEmpty():
-        return placed.withColumns({"part": F.lit(0), "salt": F.lit(0)})
-    large = placed.join(big, "component", "left_semi").select("id", "n", "u", "component")
-    centres = pivots_of(large, seed, max(1, min(256, large.count() // PART)), dimensions)
-    split = cut(nearest_pivot(large, centres, dimensions).select("id", "n", "u", "component", F.col("pivot").alias("part")))
-    salts = cut_small(split.groupBy("component", "part").agg(F.ceil(F.count("*") / PART).cast("int").alias("salts")))
-    split = split.join(salts, ["component", "part"]).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("salts")).cast("int")).drop("salts")
-    rest = placed.join(big, "component", "left_anti").select("id", "n", "u", "component", F.lit(0).alias("part"), F.lit(0).alias("salt"))
-    return rest.unionByName(split)
+    return nodes.groupBy("component").applyInArrow(run, "id bigint, head bigint, n bigint, u binary")
 
 
 def cluster(vectors: DataFrame, least: float = LEAST, dimensions: int = DIMENSIONS) -> tuple[DataFrame, DataFrame]:
@@ -140,40 +117,15 @@ def cluster(vectors: DataFrame, least: float = LEAST, dimensions: int = DIMENSIO
     spark = vectors.sparkSession
     nodes, member = _unique(vectors, dimensions)
     release(spark)
-    done, parents, seed = [], [spark.createDataFrame([], "gone bigint, head bigint")], 0
-    while True:
-        if nodes.limit(PART + 1).count() <= PART:
-            last = cut(_merge_parts(nodes.withColumn("part", F.lit(0)), ["part"], least, dimensions))
-            parents.append(last.where("id != head").select(F.col("id").alias("gone"), "head"))
-            done.append(last.where("id = head").select("id", "n", "u"))
-            break
-        graph = similar_pairs(nodes.select(F.lit("").alias("kind"), "id", "u"), least, PARTNERS, dimensions, digits=DIGITS).select("id", "partner", "value")
-        release(spark)
-        linked = cut_small(graph.select(F.inline(F.array(F.struct("id"), F.struct(F.col("partner").alias("id"))))).distinct(), SENT)
-        done.append(nodes.join(linked, "id", "left_anti"))  # without a partner now, without one for ever
-        count = linked.count()
-        if not count:
-            break
-        if count > PART:
-            parts = core_components(graph.select(F.col("id").alias("a"), F.col("partner").alias("b"))).withColumnRenamed("vertex", "id")
-            parts = cut_small(parts, SENT)
-            release(spark)
-        else:
-            parts = linked.withColumn("component", F.lit(0).cast("bigint"))
-        merged = cut(_merge_parts(_dealt(nodes, parts, seed, dimensions), ["component", "part", "salt"], least, dimensions))
-        gone = cut(merged.where("id != head").select(F.col("id").alias("gone"), "head"))
-        if gone.isEmpty():
-            # the parts kept all partners apart: the best pair of all is reciprocal, and merges
-            a, b = graph.orderBy(F.desc("value"), F.least("id", "partner"), F.greatest("id", "partner")).select(F.least("id", "partner"), F.greatest("id", "partner")).first()
-            pair = merged.where(F.col("id").isin(a, b)).withColumn("part", F.lit(0))
-            merged = cut(_merge_parts(pair, ["part"], least, dimensions).unionByName(merged.where(~F.col("id").isin(a, b))))
-            gone = cut(merged.where("id != head").select(F.col("id").alias("gone"), "head"))
-        parents.append(gone)
-        nodes = merged.where("id = head").select("id", "n", "u")
-        seed += 1
-        release(spark)
-    heads = _roots(reduce(DataFrame.unionByName, parents))
-    clusters = reduce(DataFrame.unionByName, done).select(F.col("id").alias("cluster"), F.col("n").alias("size"), "u")
+    graph = similar_pairs(nodes.select(F.lit("").alias("kind"), "id", "u"), least, 1, dimensions, digits=DIGITS, forest=True)
+    release(spark)
+    parts = cut_small(core_components(graph.select(F.col("id").alias("a"), F.col("partner").alias("b"))).withColumnRenamed("vertex", "id"), SENT)
+    release(spark)
+    merged = cut(_merge(nodes.join(parts, "id").select("id", "n", "u", "component"), least, dimensions))
+    heads = merged.where("id != head").select(F.col("id").alias("gone"), "head")
+    # a vector without a partner now has none for ever
+    ends = merged.where("id = head").select("id", "n", "u").unionByName(nodes.join(parts, "id", "left_anti").select("id", "n", "u"))
+    clusters = ends.select(F.col("id").alias("cluster"), F.col("n").alias("size"), "u")
     return member.join(heads, F.col("lead") == F.col("gone"), "left").select("id", F.coalesce("head", "lead").alias("cluster")), clusters
 
 

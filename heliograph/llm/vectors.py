@@ -248,16 +248,63 @@ def _tiles(a: _Side, b: _Side, same: bool, least: float, k: int, digits: int, le
     return left, right
 
 
+def _forest(a: _Side, b: _Side, same: bool, least: float, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, id, value) of pairs of at least ``least`` that join all vectors which such pairs join; one less than they are at most."""
+    shift = 0 if same else len(a.ids)
+    label = np.arange(shift + len(b.ids))
+    norms, radii = np.array(b.norms), np.array(b.radii)
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for i, rows in enumerate(a.blocks):
+        codes = a.codes[rows].astype(np.float32)
+        gaps = np.maximum(0.0, np.linalg.norm(b.centres - a.centres[i], axis=1) - a.radii[i] - radii)
+        within = (a.norms[i] ** 2 + norms**2 - gaps**2) / 2 >= least - 1e-6
+        for j in np.flatnonzero(within).tolist():
+            columns = b.blocks[j]
+            if same and j < i or (np.r_[label[rows], label[columns.start + shift : columns.stop + shift]] == label[rows.start]).all():
+                continue
+            product = codes @ b.codes[columns].astype(np.float32).T  # whole numbers, exact
+            slack = a.errors[i] * b.norms[j] + b.errors[j] * (a.norms[i] + a.errors[i]) + 2e-6
+            bound = math.floor((least - slack) / (a.scales[i] * b.scales[j]))
+            if product.max() < bound:
+                continue
+            x, y = np.divmod(np.flatnonzero(product.ravel() >= bound), product.shape[1])
+            x, y = x + rows.start, y + columns.start
+            if same:
+                x, y = x[x < y], y[x < y]
+            for at in range(0, len(x), 65_536):
+                p, q = x[at : at + 65_536], y[at : at + 65_536]
+                open_ = label[p] != label[q + shift]
+                p, q = p[open_], q[open_]
+                value = np.round(np.einsum("ij,ij->i", a.u[p], b.u[q], dtype=np.float64), digits)
+                good = value >= least
+                p, q, value = p[good], q[good], value[good]
+                while len(p):
+                    # of each label's pairs the one with the smallest other label joins it to that
+                    low, high = np.minimum(label[p], label[q + shift]), np.maximum(label[p], label[q + shift])
+                    order = np.lexsort((low, high))
+                    first = order[np.r_[True, np.diff(high[order]) > 0]]
+                    out.append((a.ids[p[first]], b.ids[q[first]], value[first]))
+                    root = np.arange(len(label))
+                    root[high[first]] = low[first]
+                    while (root[root] != root).any():
+                        root = root[root]
+                    label = root[label]
+                    open_ = label[p] != label[q + shift]
+                    p, q, value = p[open_], q[open_], value[open_]
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _groups(n: int, group: int) -> int:
     """Groups of at most about ``group`` of n vectors; smaller inputs are cut a little finer, so that cores are not idle."""
     return max(-(-n // group), min(2, -(-n // (4 * BLOCK))), 1)
 
 
-def similar_pairs(rows: DataFrame, least: float, k: int, dimensions: int = DIMENSIONS, group: int = GROUP, digits: int = 6) -> DataFrame:
+def similar_pairs(rows: DataFrame, least: float, k: int, dimensions: int = DIMENSIONS, group: int = GROUP, digits: int = 6, *, forest: bool = False) -> DataFrame:
     """(kind, id, partner, value): for each vector its ``k`` largest products of at least ``least`` with others of its kind.
 
     ``rows``: kind, id, u (float32 bytes, of any length), ids unique within a kind. Values are rounded to ``digits`` decimals
-    and ties go to the smaller partner. An empty table gives an empty result.
+    and ties go to the smaller partner. An empty table gives an empty result. With ``forest`` the pairs are not the largest, but
+    so many as join all vectors which pairs of at least ``least`` join; ``k`` does not count then.
     """
     spark = rows.sparkSession
     counts = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # as many as kinds
@@ -284,7 +331,9 @@ def similar_pairs(rows: DataFrame, least: float, k: int, dimensions: int = DIMEN
         if not strips:
             return spark.createDataFrame([], "kind string, id bigint, partner bigint, value double")
         todo = spark.createDataFrame(strips, "number int, kind string, lo int, his array<int>").coalesce(1).repartition(len(strips))
-        found = todo.mapInArrow(_compare(folder, least, k, dimensions, digits), "kind string, id bigint, partner bigint, value double")
+        found = todo.mapInArrow(_compare(folder, least, k, dimensions, digits, forest), "kind string, id bigint, partner bigint, value double")
+        if forest:
+            return cut(found)
         best = W.partitionBy("kind", "id").orderBy(F.desc("value"), "partner")
         return cut(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"))
     finally:
@@ -292,8 +341,8 @@ def similar_pairs(rows: DataFrame, least: float, k: int, dimensions: int = DIMEN
         written.getFileSystem(spark._jsc.hadoopConfiguration()).delete(written, True)
 
 
-def _compare(folder: str, least: float, k: int, dimensions: int, digits: int):
-    """The function of (number, kind, lo, his): the k best of group ``lo`` in the groups ``his``, and of these in ``lo``."""
+def _compare(folder: str, least: float, k: int, dimensions: int, digits: int, forest: bool):
+    """The function of (number, kind, lo, his): the k best of group ``lo`` in the groups ``his``, and of these in ``lo``, or a forest."""
 
     def side(number: int, g: int) -> _Side | None:
         held, path = fs.FileSystem.from_uri(re.sub("^(file:)?/+", "file:///", f"{folder}/{number}/g={g}"))
@@ -304,9 +353,12 @@ def _compare(folder: str, least: float, k: int, dimensions: int, digits: int):
         at = np.unique(ids, return_index=True)[1]  # a repeated row of one id is the same vector
         return _Side(ids[at], u[at], pivot[at])
 
+    def told(kind: str, ids: np.ndarray, partners: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(ids), pa.string()), pa.array(ids), pa.array(partners), pa.array(value)], names=["kind", "id", "partner", "value"])
+
     def best(kind: str, own: _Side, heaps: _Heaps) -> pa.RecordBatch:
         at, value, partner = heaps.prune()
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(own.ids[at]), pa.array(partner), pa.array(value)], names=["kind", "id", "partner", "value"])
+        return told(kind, own.ids[at], partner, value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,7 +366,9 @@ def _compare(folder: str, least: float, k: int, dimensions: int, digits: int):
                 a, left = side(row["number"], row["lo"]), None
                 for hi in row["his"] if a else ():
                     b = a if hi == row["lo"] else side(row["number"], hi)
-                    if b:
+                    if b and forest:
+                        yield told(row["kind"], *_forest(a, b, a is b, least, digits))
+                    elif b:
                         left, right = _tiles(a, b, a is b, least, k, digits, left)
                         if a is not b:
                             yield best(row["kind"], b, right)

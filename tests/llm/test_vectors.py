@@ -169,3 +169,18 @@ def test_vectors_move_once_whatever_the_number_of_groups(spark):
     found = vectors.similar_pairs(units, 0.8, 5, 128, 22).collect()
     assert {(r["id"], r["partner"]) for r in found} == {p for k in range(40) for p in ((k, 400 + k), (400 + k, k))}
     assert written() - before < 3 * rows.nbytes
+
+
+def test_clusters_do_not_depend_on_the_size_of_the_input(spark, monkeypatch):
+    """Sets that run into each other are clustered as the sequential method does, alone and among many others, whatever ``PART`` is."""
+    monkeypatch.setattr(vectors.similar_pairs, "__defaults__", (128, 40, 6))
+    x = overlapping(11)
+    more = np.random.default_rng(6).normal(size=(60, 128)).astype(np.float32)
+    expected = sequential(x.astype(np.float64), 0.7)
+    for part, rows in ((2048, x), (8, x), (8, np.concatenate([x, more]))):
+        monkeypatch.setattr(linkage, "PART", part)
+        member, _ = linkage.cluster(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rows)], "id bigint, vector array<float>"))
+        found = {}
+        for r in member.where("id < 70").collect():
+            found.setdefault(r["cluster"], []).append(r["id"])
+        assert sorted(map(sorted, found.values())) == expected
