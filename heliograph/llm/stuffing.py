@@ -8,8 +8,8 @@ by repeating one of them.
 
 A page of which more than half the words are no prose holds at most half of what prose holds of those words, and a little by
 chance. Pages below ``PROSE_SHARE`` of the language's upper quartile, within the scatter of their length, are suspects, as are pages whose slope or residual is
-extreme among the other pages of the language at comparable lengths. Spam cannot become its own reference: pages with the
-same head of the curve count once a task, the quartile stands until three quarters of a language are spam, and a language of
+extreme among the other pages of the language at comparable lengths. Spam cannot become its own reference: all pages count, but
+those with the same head of the curve count together as one page, the mean of them, the quartile stands until three quarters of a language are spam, and a language of
 few such pages proves nothing, so that its pages are all suspects. An exact count of keyword, link and list words then
 decides on each suspect.
 """
@@ -17,6 +17,7 @@ decides on each suspect.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heliograph.llm.words import _INVISIBLE, _TAG, _WORD
-from heliograph.runtime import cut, small
+from heliograph.runtime import cut, cut_small, small
 
 #: Words below which a text is no case.
 LEAST_WORDS = 10
@@ -45,6 +46,8 @@ MODEL_WORDS, EXCESS = 200, 3.0
 MODEL_PAGES, UNKNOWN = 50, "un"
 #: The head of a curve: its most frequent words, as far as each makes up this share of the page. Rarer ones tell near copies apart.
 HEAD_WORDS, HEAD_SHARE = 8, 0.02
+#: Heads of several pages up to which their numbers are sent to the pages.
+HEADS = 500_000
 #: Different words that a task holds before it hands their counts on.
 HELD_WORDS = 200_000
 
@@ -53,31 +56,45 @@ def _page_counts(text: str) -> Counter:
     return Counter(_WORD.findall(_TAG.sub(" ", _INVISIBLE.sub("", text)).lower()))
 
 
+def _head(lang: str, counts: Counter, total: int) -> int:
+    """A digest of the language and the most frequent words of a page."""
+    top = sorted(((-n, w) for w, n in counts.items() if n >= HEAD_SHARE * total))[:HEAD_WORDS]
+    return xxhash.xxh64_intdigest(" ".join([lang, *sorted(w for _, w in top)])) - (1 << 63)
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to (lang, head, total, counted) of each page of enough words: its words and their numbers, packed."""
+    for batch in batches:
+        rows = []
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts = _page_counts(text)
+            total = sum(counts.values())
+            if total >= LEAST_WORDS:
+                packed = "\n".join([" ".join(map(str, counts.values())), *counts]).encode()
+                rows.append((lang, _head(lang, counts, total), total, zlib.compress(packed, 1)))
+        types = [pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["lang", "head", "total", "counted"])
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, word, pages, share): how many pages hold a word, and the sum of its shares; '' counts pages."""
+    """(lang, total, counted, alike) to (lang, word, pages, share): how many pages hold a word, and the sum of its shares; '' counts pages.
+
+    A page counts as one of ``alike``, the number of pages with the same head.
+    """
     held: dict[tuple[str, str], list[float]] = {}
-    heads: set[int] = set()
 
     def flush() -> pa.RecordBatch:
-        columns = [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array([int(v[0]) for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.float64())]
+        columns = [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), *(pa.array([v[c] for v in held.values()], pa.float64()) for c in range(2))]
         held.clear()
         return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "pages", "share"])
 
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts = _page_counts(text)
-            total = sum(counts.values())
-            if total < LEAST_WORDS:
-                continue
-            top = sorted(((-n, w) for w, n in counts.items() if n >= HEAD_SHARE * total))[:HEAD_WORDS]
-            head = xxhash.xxh64_intdigest(" ".join([lang, *sorted(w for _, w in top)]))
-            if head in heads:
-                continue
-            heads.add(head)
-            for word, n in [("", total), *counts.items()]:
-                own = held.setdefault((lang, word), [0, 0.0])
-                own[0] += 1
-                own[1] += n / total
+        for lang, total, counted, alike in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            numbers, *words = zlib.decompress(counted).decode().split("\n")
+            for word, n in [("", total), *zip(words, map(int, numbers.split()), strict=True)]:
+                own = held.setdefault((lang, word), [0.0, 0.0])
+                own[0] += 1 / alike
+                own[1] += n / total / alike
         if len(held) > HELD_WORDS:
             yield flush()
     yield flush()
@@ -94,10 +111,14 @@ def language_models(documents: DataFrame) -> dict[str, dict[str, float]]:
 
     What reaches the driver is bounded by the languages and their words, whatever the number of documents.
     """
-    spread = _with_language(documents).where(F.col("lang") != UNKNOWN).select("lang", "text").mapInArrow(_spread, "lang string, word string, pages bigint, share double")
-    spread = spread.groupBy("lang", "word").agg(F.sum("pages").alias("pages"), F.sum("share").alias("share"))
+    pages = cut(_with_language(documents).where(F.col("lang") != UNKNOWN).select("lang", "text").mapInArrow(_heads, "lang string, head bigint, total bigint, counted binary"))
+    alike = cut_small(pages.groupBy("head").agg(F.count("*").alias("alike")).where("alike > 1"), HEADS)
+    weighed = pages.join(alike, "head", "left").select("lang", "total", "counted", F.coalesce("alike", F.lit(1)).alias("alike"))
+    spread = weighed.mapInArrow(_spread, "lang string, word string, pages double, share double")
+    # rounded, as sums of fractions depend on their order
+    spread = spread.groupBy("lang", "word").agg(F.round(F.sum("pages"), 6).alias("pages"), F.sum("share").alias("share"))
     ranked = spread.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("pages"), "word"))).where(F.col("k") <= MODEL_WORDS + 1)
-    found: dict[str, dict[str, tuple[int, float]]] = {}
+    found: dict[str, dict[str, tuple[float, float]]] = {}
     for lang, word, pages, share in ranked.select("lang", "word", "pages", "share").collect():
         found.setdefault(lang, {})[word] = pages, share
     models = {lang: (own[""][0], own) for lang, own in found.items() if "" in own and own[""][0] >= MODEL_PAGES}

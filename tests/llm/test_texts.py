@@ -197,6 +197,24 @@ def test_copies_of_a_stuffed_page_do_not_become_the_reference(spark):
     assert {r["doc_id"] for r in stuffing.find_spam(df).collect()} == {1000 + k for k in range(200)}
 
 
+def test_every_page_counts_in_its_language(spark):
+    """Pages with one head are averaged, none is left out, and how rows are dealt to tasks changes nothing."""
+    rng = random.Random(11)
+    rest = ["".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(4)) for _ in range(3000)]
+    rows = [(k, " ".join(["the"] * 9 + [rng.choice("abc") * 3] * 5 + [f"{w}{k}" for w in rng.sample(rest, 60)] + ["rare"] * (k % 2)), "en") for k in range(120)]
+    rows += [(1000 + k, " ".join([f"top{k}"] * 8 + ["the"] * 4 + [f"{w}x{k}" for w in rng.sample(rest, 40)]), "en") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    by = {}
+    for _, text, _ in rows:
+        words = text.split()
+        top = frozenset(w for w in set(words) if words.count(w) >= 0.02 * len(words))
+        by.setdefault(top, []).append(words.count("rare") / len(words))
+    share = sum(sum(v) / len(v) for v in by.values()) / len(by)
+    for parts in (1, 5):
+        model = stuffing.language_models(df.repartition(parts))["en"]
+        assert len(by) == 63 and abs(model["rare"] - share) < 1e-9
+
+
 def test_curve_of_a_page(spark):
     text = "a a a a b b c d " * 3
     row = stuffing.curves(spark.createDataFrame([(1, text, "xx"), (1, text, "xx"), (2, "too short", "xx"), (None, text, "xx"), (3, None, "xx")], "doc_id bigint, text string, lang string")).collect()
